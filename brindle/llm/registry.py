@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from brindle.llm import simhash
+from brindle.llm import mixing, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op4_simhash": simhash.query}
+    return {"op3_mixing": mixing.query, "op4_simhash": simhash.query, "op6_sharding": sharding.query}
 
 
 def oracle_sql() -> dict[str, str]:
