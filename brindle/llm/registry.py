@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from brindle.llm import mixing, sharding, simhash
+from brindle.llm import chat, mixing, secrets, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op3_mixing": mixing.query, "op4_simhash": simhash.query, "op6_sharding": sharding.query}
+    return {"op3_mixing": mixing.query, "op4_simhash": simhash.query, "op6_sharding": sharding.query, "op7_secrets": secrets.query, "op9_chat": chat.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat": chat.SQL}
