@@ -83,9 +83,10 @@ def best_paths(nodes: DataFrame) -> DataFrame:
         if len(levels) > 62:
             raise ValueError("the replies form a circle")
         above = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        both = jump.join(above, jump["tree"].eqNullSafe(F.col("t")) & (jump["up"] == F.col("n")), "left")
-        zero = F.lit(0)
-        jump = materialize(both.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", zero)).alias("score"), (F.col("depth") + F.coalesce("depth2", zero)).alias("depth")), "jump")
+        open_ = jump.where("up is not null")  # what has reached its root isn't joined again
+        both = open_.join(above, open_["tree"].eqNullSafe(F.col("t")) & (open_["up"] == F.col("n")))
+        moved = both.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        jump = materialize(jump.where("up is null").unionByName(moved), "jump")
     inner = first.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = jump.join(inner, jump["tree"].eqNullSafe(F.col("t")) & (jump["node"] == F.col("p")), "left_anti")
     best = leaves.groupBy("tree").agg(F.max(F.struct((F.col("score") / F.col("depth")).alias("mean"), F.col("depth").alias("long"), (-F.col("node")).alias("low"))).alias("b"))
