@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat, langid, mixing, secrets, sharding, simhash
+from brindle.llm import chat, decontaminate, langid, mixing, secrets, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op2_langid": langid.query, "op3_mixing": mixing.query, "op4_simhash": simhash.query, "op6_sharding": sharding.query, "op7_secrets": secrets.query, "op9_chat": chat.query}
+    return {"op2_langid": langid.query, "op3_mixing": mixing.query, "op4_simhash": simhash.query, "op6_sharding": sharding.query, "op7_secrets": secrets.query, "op9_chat": chat.query, "op10_decontaminate": decontaminate.query}
 
 
 def oracle_sql() -> dict[str, str]:
