@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import binaries, components, materialize, pieces, shuffle_partitions, table
 
 GROUP = 512
+#: Bytes of text hashed together; each shingle takes 64 counters for a moment.
+PIECE = 1 << 18
 SEED = 42
 
 
@@ -51,7 +53,7 @@ def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
     if some := np.flatnonzero(counts).tolist():
         n = counts[some]
         bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
+        sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
         out[some] = np.packbits(sums * 2 > n[:, None], axis=1).view(">u8").ravel()
     return out
 
@@ -64,7 +66,7 @@ def with_fingerprint(docs: DataFrame, columns: list[str], text: str = "text", wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binaries(batch.column(batch.num_columns - 1))
-            fps = np.concatenate([fingerprints(texts[i:j], width) for i, j in pieces(texts)] or [np.zeros(0, np.uint64)])
+            fps = np.concatenate([fingerprints(texts[i:j], width) for i, j in pieces(texts, PIECE)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
     return source.mapInArrow(run, schema)
