@@ -20,7 +20,7 @@ OVERHEAD = 8
 #: Of a splitter from its share of the bytes, as a part of an interval's bytes.
 TOLERANCE = 0.001
 #: Each shard is cut into intervals of about so many rows, at most MOST_INTERVALS in all, so that no task numbers a whole shard.
-INTERVAL_ROWS, MOST_INTERVALS = 100_000, 1536
+INTERVAL_ROWS, MOST_INTERVALS = 20_000, 1536
 LOW = -(1 << 63)
 
 
