@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat, decontaminate, langid, licenses, mixing, omh, secrets, sharding, simhash
+from brindle.llm import chat, decontaminate, hpylm, langid, licenses, mixing, omh, secrets, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op2_langid": langid.query, "op3_mixing": mixing.query, "op4_simhash": simhash.query, "op5_omh": omh.query, "op6_sharding": sharding.query, "op7_secrets": secrets.query, "op8_licenses": licenses.query, "op9_chat": chat.query, "op10_decontaminate": decontaminate.query}
+    return {"op1_hpylm": hpylm.query, "op2_langid": langid.query, "op3_mixing": mixing.query, "op4_simhash": simhash.query, "op5_omh": omh.query, "op6_sharding": sharding.query, "op7_secrets": secrets.query, "op8_licenses": licenses.query, "op9_chat": chat.query, "op10_decontaminate": decontaminate.query}
 
 
 def oracle_sql() -> dict[str, str]:
