@@ -105,19 +105,29 @@ def _restaurant(pack: _Pack, hashes: np.ndarray, top: tuple[np.ndarray, np.ndarr
     return rank, np.where(rank >= 0, rank, classes)
 
 
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The local words by bucket and hash: their order, each word's place in it, and the places' buckets."""
+    dealt = _bucket(hashes, buckets)
+    order = np.lexsort((hashes, dealt))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place, dealt[order]
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _counts(training: DataFrame) -> DataFrame:
-    """(h, n): the training tokens' counts."""
+    """(h, n, cls): the training tokens' counts and their classes as contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _packs(batches, 1):
             n = np.bincount(pack.words(), minlength=len(pack.ids))
-            yield pa.RecordBatch.from_arrays([pa.array(pack.hashes().view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            cls = np.fromiter(map(_class, pack.ids), np.int8, len(pack.ids))
+            yield pa.RecordBatch.from_arrays([pa.array(pack.hashes().view(np.int64)), pa.array(n.astype(np.int64)), pa.array(cls)], names=["h", "n", "cls"])
 
-    return training.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return training.mapInArrow(run, "h long, n long, cls byte").groupBy("h").agg(F.sum("n").alias("n"), F.min("cls").alias("cls"))
 
 
 _TYPES = "bucket int, h binary, n binary, ctx binary, cnt binary"
@@ -130,12 +140,11 @@ def _types(training: DataFrame, top, buckets: int) -> DataFrame:
         for pack in _packs(batches, 1):
             h, w = pack.hashes(), pack.words()
             _, room = _restaurant(pack, h, top.value)
-            code = np.sort(w * RESTAURANTS + room[np.r_[0, w[:-1]]])
+            order, place, bucket_at = _by_bucket(h, buckets)
+            code = np.sort(place[w] * RESTAURANTS + room[np.r_[0, w[:-1]]])
             start, n = _runs(code)
             word, ctx = code[start] // RESTAURANTS, code[start] % RESTAURANTS
-            order = np.lexsort((ctx, h[word], _bucket(h, buckets)[word]))
-            word, ctx, n = word[order], ctx[order], n[order]
-            dealt = _bucket(h, buckets)[word]
+            dealt, h = bucket_at[word], h[order]
             rows = []
             for s, m in zip(*_runs(dealt), strict=True):
                 first, k = _runs(word[s : s + m])
@@ -363,9 +372,10 @@ class Trained:
         hashes = np.array([r[0] for r in best], np.int64).view(np.uint64)
         order = np.argsort(hashes)
         self.top, self.top_n = (hashes[order], order.astype(np.int64)), np.array([r[1] for r in best], np.int64)
-        self.buckets = shuffle_partitions(spark)
+        self.buckets = 2 * shuffle_partitions(spark)
         shared = spark.sparkContext.broadcast(self.top)
-        self.class_of = self._classes(training, shared)
+        self.class_of = np.zeros(CONTEXTS, np.int64)
+        self.class_of[: len(best)] = [r[2] for r in best]
         self.types = materialize(_types(training, shared, self.buckets), "types")
         vocabulary = self.vocabulary
         self.totals = [self._sum(lambda b: b.start())]
@@ -373,25 +383,6 @@ class Trained:
             so_far = list(self.totals)
             self.totals.append(self._sum(lambda b, so_far=so_far: [x[0] for x in b.run(so_far, vocabulary)][-1]))
 
-    def _classes(self, training: DataFrame, top) -> np.ndarray:
-        """The classes of the most frequent tokens; a few texts' words may be needed to know them all."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[int, int] = {}
-            for pack in _packs(batches, 1):
-                rank, _ = _restaurant(pack, pack.hashes(), top.value)
-                for r, w in zip(rank.tolist(), pack.ids, strict=True):
-                    if r >= 0:
-                        found[r] = _class(w)
-                if len(found) == len(top.value[0]):
-                    break
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["r", "c"])
-
-        out = np.zeros(CONTEXTS, np.int64)
-        for r, c in training.mapInArrow(run, "r long, c long").distinct().collect():  # at most CONTEXTS rows
-            out[r] = c
-        return out
-
     def _sum(self, of) -> np.ndarray:
         class_of = self.class_of
 
@@ -462,12 +453,12 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             model_ = np.bincount(doc[often], frequent.value[rank[w[often]], ctx[often]], len(sizes))
             out = []
             w, ctx, doc = w[~often], ctx[~often], doc[~often]
-            dealt = _bucket(h, buckets)
-            order = np.lexsort((doc, ctx, w, dealt[w]))
-            w, ctx, doc = w[order], ctx[order], doc[order]
-            start = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])]) if len(w) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[start, len(w)]).astype(np.uint32)
-            w, ctx, doc = w[start], ctx[start].astype(np.uint16), doc[start].astype(np.uint16)
+            order, place, dealt = _by_bucket(h, buckets)
+            h = h[order]
+            code = np.sort((place[w] * RESTAURANTS + ctx) << 16 | doc)
+            start, n = _runs(code)
+            code, n = code[start], n.astype(np.uint32)
+            w, ctx, doc = (code >> 16) // RESTAURANTS, ((code >> 16) % RESTAURANTS).astype(np.uint16), (code & 0xFFFF).astype(np.uint16)
             for s, m in zip(*_runs(dealt[w]), strict=True):
                 first, k = _runs(w[s : s + m])
                 out.append((int(dealt[w[s]]), 1, flush, h[w[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].tobytes(), doc[s : s + m].tobytes()))
