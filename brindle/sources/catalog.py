@@ -55,24 +55,27 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, Table] = {}
+        self.unread: dict[str, Callable[[], Table]] = {}  # tables whose files are looked at when first used
 
     def __getitem__(self, name: str) -> Table:
+        if name in self.unread:
+            self.unread.pop(name)()
         if name not in self.tables:
             raise DialectError(f"unknown table {name}")
         return self.tables[name]
 
     def copy(self) -> Catalog:
         out = Catalog(self.spark)
-        out.tables = {k: dataclasses.replace(t) for k, t in self.tables.items()}
+        out.tables = {k: dataclasses.replace(self[k]) for k in [*self.tables, *self.unread]}
         return out
 
     def replace_tables(self, other: Catalog) -> None:
-        self.tables = {k: dataclasses.replace(t) for k, t in other.tables.items()}
+        self.tables, self.unread = other.copy().tables, {}
 
     # -- declaring
     def create(self, made: CreateTable) -> Table:
         names = [c.name for c in made.columns]
-        if made.name in self.tables:
+        if made.name in self.tables or made.name in self.unread:
             raise DialectError(f"table {made.name} exists")
         if len(set(names)) < len(names):
             raise DialectError(f"table {made.name} has a column twice")
@@ -104,7 +107,7 @@ class Catalog:
 
     def attach_parquet(self, folder: str, *names: str, keys: dict[str, tuple[str, ...]] | None = None) -> Catalog:
         for name in names:
-            self.attach(name, self.spark.read.parquet(f"{folder}/{name}.parquet"), (keys or {}).get(name, ()))
+            self.unread[name] = lambda name=name: self.attach(name, self.spark.read.parquet(f"{folder}/{name}.parquet"), (keys or {}).get(name, ()))
         return self
 
     def _add(self, table: Table) -> Table:
