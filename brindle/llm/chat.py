@@ -6,7 +6,7 @@ the longer path, then the smaller node), the jumps mark the nodes on its path, a
 
 Template: each turn is `### Role: text</turn>` and a line break. In texts a backslash becomes two, `##` becomes `#\\#` and `</turn>`
 becomes `<\\/turn>`, so that no control string can occur inside a text; a backslash and a character read back as the character.
-The roles user, assistant and system are written with a capital; any other is written after a backslash, with its colons escaped;
+The roles user, assistant and system are written with a capital; any other begins with a backslash (one is put before it unless its escaped form has one), with its colons escaped;
 an empty or null role is written as nothing.
 """
 
@@ -40,7 +40,10 @@ def unescape(text: str) -> str:
 
 
 def _mark(role: str) -> str:
-    return ROLES[role] if role in ROLES else "\\" + escape(role).replace(":", "\\:")
+    if role in ROLES:
+        return ROLES[role]
+    escaped = escape(role).replace(":", "\\:")
+    return escaped if escaped.startswith("\\") else "\\" + escaped
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -157,7 +160,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(14 + length(CASE WHEN role IN ('user', 'assistant', 'system') OR role = '' THEN role
-       ELSE '\' || replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ':', '\:') END)
+       ELSE CASE WHEN left(role, 1) IN ('\', ':') THEN '' ELSE '\' END || replace(replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'), ':', '\:') END)
     + length(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """

@@ -480,7 +480,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 at = np.repeat(_find(now.h, h) if now else np.full(len(h), -1), n)
                 asks.append((at, np.frombuffer(r["ctx"], np.uint16).astype(np.int64)))
                 counts.append(np.frombuffer(r["cnt"], np.uint32).astype(np.float64))
-            blank = now or Bucket(-1, b"", b"", b"", b"")
+            blank = now or Bucket(held[0]["bucket"], b"", b"", b"", b"")  # no training word fell into this bucket
             if not now:
                 blank.link(class_of)
             every = tuple(np.concatenate([a[c] for a in asks]) for c in (0, 1))
