@@ -38,7 +38,7 @@ SWEEPS, BURN_IN = 3, 1
 #: Customers of each dish that a sweep seats anew.
 MOVES = 2
 #: Tokens and documents that a map task packs together.
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 3 << 19, 60_000
 #: The end of a text as a token; words hold no line break.
 END = b"\n"
 
@@ -49,8 +49,19 @@ class _Ids(dict):
         return n
 
 
+class _Classes(dict):
+    """Classes by the last two bytes, kept: at most 65,793."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = xxhash.xxh32_intdigest(key, 5) % CLASSES
+        return n
+
+
+_CLASS_OF = _Classes()
+
+
 def _class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-2:], 5) % CLASSES
+    return _CLASS_OF[word[-2:]]
 
 
 class _Pack:
@@ -101,7 +112,7 @@ def _restaurant(pack: _Pack, hashes: np.ndarray, top: tuple[np.ndarray, np.ndarr
     if len(sorted_):
         at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
         rank = np.where(sorted_[at] == hashes, rank_of[at], -1)
-    classes = np.fromiter((CONTEXTS + _class(w) for w in pack.ids), np.int64, len(pack.ids))
+    classes = np.fromiter((_CLASS_OF[w[-2:]] for w in pack.ids), np.int64, len(pack.ids)) + CONTEXTS
     return rank, np.where(rank >= 0, rank, classes)
 
 
@@ -205,9 +216,9 @@ class Seating:
 
     def _pick(self, dishes: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """A table of each dish, with probability in proportion to weight."""
-        upto = np.cumsum(weight)
-        first = np.searchsorted(self.owner, dishes)
-        last = np.searchsorted(self.owner, dishes, "right") - 1
+        upto, ends = np.cumsum(weight), np.cumsum(self.tables())
+        first = np.r_[0, ends][dishes]
+        last = ends[dishes] - 1
         low = np.where(first > 0, upto[first - 1], 0.0)
         at = np.searchsorted(upto, low + self.rng.random(len(dishes)) * (upto[last] - low), "right")
         return np.clip(at, first, last)
@@ -228,9 +239,8 @@ class Seating:
         if (old := dishes[~opens]).size:
             self.size[self._pick(old, self.size - self.d)] += 1
         if opens.any():
-            owner, size = np.r_[self.owner, dishes[opens]], np.r_[self.size, np.ones(int(opens.sum()), self.size.dtype)]
-            order = np.argsort(owner, kind="stable")
-            self.owner, self.size = owner[order], size[order]
+            at = np.cumsum(self.tables())[dishes[opens]]
+            self.owner, self.size = np.insert(self.owner, at, dishes[opens]), np.insert(self.size, at, 1)
 
     def fit(self, customers: np.ndarray, new: np.ndarray) -> None:
         """Customers come and go until each dish has as many as its children have tables."""
@@ -491,8 +501,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 own = slice(at, at + len(n))
                 at += len(n)
                 doc = np.frombuffer(r["doc"], np.uint16)
-                some, where = np.unique(doc, return_inverse=True)
-                sums = [np.bincount(where, x, len(some)) for x in (n * seen[own], n * base[own], n * p[own])]
+                some = np.flatnonzero(np.bincount(doc)).astype(np.uint16)
+                sums = [np.bincount(doc, x)[some] for x in (n * seen[own], n * base[own], n * p[own])]
                 yield pa.RecordBatch.from_arrays([pa.array([r["flush"]], pa.int64()), pa.array([1], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([sums[0].astype(np.uint32).tobytes()], pa.binary()), pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["flush", "kind", "doc", "known", "base", "score"])
             held.clear()
 
