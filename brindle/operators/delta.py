@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from brindle.sources.catalog import Catalog, Table
 
 ORDER = ("__epoch", "__seq")
+#: Changes of a table without key between two writes of its snapshot.
+BAG_CHANGES = 4
 
 
 @dataclass
@@ -90,7 +92,10 @@ def apply_zset(catalog: Catalog, delta: ZSet) -> None:
     """Each table's snapshot becomes the one after the changes."""
     for name, changes in delta.parts.items():
         table: Table = catalog[name]
-        table.rows = apply_keyed(table.rows, changes, table.key) if table.key else apply_bag(table.rows, changes)
+        if table.key:
+            table.changed(apply_keyed(table.rows, changes, table.key))
+        else:  # reads the snapshot twice
+            table.changed(apply_bag(table.rows, changes), every=BAG_CHANGES)
 
 
 def replaced_rows(catalog: Catalog, delta: ZSet) -> ZSet:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators.delta import ZSet
 from brindle.plans.dialect import CreateTable, Delete, DialectError, Insert, Lit, Param, Select, Update, parse, parse_script
-from brindle.plans.lower import Lowering, Scope, all_of, conjuncts, literal, query, scalar
+from brindle.plans.lower import Lowering, Scope, literal, query, scalar
 from brindle.sources.catalog import Catalog, ConstraintError, check
 
 
@@ -28,16 +28,6 @@ class Ddl:
     table: str
 
 
-def matching(catalog: Catalog, table: str, where, params: dict | None) -> DataFrame:
-    """The table's rows that meet where; subqueries are allowed."""
-    low = Lowering(catalog, params)
-    rows = catalog[table].rows
-    scope = Scope([(table, catalog[table], "")])
-    for c in conjuncts(where):
-        rows = low.filter(rows, c, scope)
-    return rows
-
-
 def _value(e, params: dict | None):
     if not isinstance(e, (Lit, Param)):
         raise DialectError("values are literals or parameters")
@@ -51,34 +41,32 @@ def insert(catalog: Catalog, s: Insert, params: dict | None = None, strict: bool
     if bad := [r for r in s.rows if len(r) != len(names)]:
         raise ConstraintError(f"{s.table}: {len(names)} columns, {len(bad[0])} values")
     rows = catalog.checked(s.table, catalog.typed(s.table, [dict(zip(names, (_value(e, params) for e in r), strict=True)) for r in s.rows]), strict)
-    table.rows = table.rows.unionByName(rows)
+    table.changed(table.rows.unionByName(rows))
     return ZSet.of(s.table, rows, 1)
 
 
 def append(catalog: Catalog, table: str, rows: DataFrame, strict: bool = True) -> ZSet:
     """A DataFrame's rows, like INSERT."""
     rows = catalog.checked(table, rows.select(*catalog[table].domains), strict)
-    catalog[table].rows = catalog[table].rows.unionByName(rows)
+    catalog[table].changed(catalog[table].rows.unionByName(rows))
     return ZSet.of(table, rows, 1)
 
 
-def _split(catalog: Catalog, name: str, where, params) -> tuple[DataFrame, DataFrame]:
-    """The table's rows that meet where, and the others."""
-    table = catalog[name]
-    plain = Lowering(catalog, params)
-    try:  # one predicate for both halves, where it needs no subquery list
-        meets: Column = all_of([plain.predicate(c, Scope([(name, table, "")]), {}) for c in conjuncts(where)])
-        return table.rows.where(meets), table.rows.where(~F.coalesce(meets, F.lit(False)))
-    except KeyError:
-        hit = matching(catalog, name, where, params)
-        same = all_of([F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in table.domains])
-        return hit, table.rows.alias("a").join(hit.distinct().alias("b"), same, "left_anti")
+def _judged(catalog: Catalog, name: str, where, params) -> tuple[DataFrame, Column]:
+    """The table's rows, each once, and whether a row meets where (never null). One pass serves both halves, so plans grow by a step a change."""
+    rows = catalog[name].rows
+    if where is None:
+        return rows, F.lit(True)
+    marked, meets, _ = Lowering(catalog, params).marked(rows, where, Scope([(name, catalog[name], "")]))
+    return marked, F.coalesce(meets, F.lit(False))
 
 
 def delete(catalog: Catalog, s: Delete, params: dict | None = None) -> ZSet:
-    hit, rest = _split(catalog, s.table, s.where, params)
-    catalog[s.table].rows = rest
-    return ZSet.of(s.table, hit, -1)
+    table = catalog[s.table]
+    rows, meets = _judged(catalog, s.table, s.where, params)
+    columns = [F.col(f"`{c}`") for c in table.domains]
+    table.changed(rows.where(~meets).select(*columns))
+    return ZSet.of(s.table, rows.where(meets).select(*columns), -1)
 
 
 def update(catalog: Catalog, s: Update, params: dict | None = None) -> ZSet:
@@ -89,13 +77,13 @@ def update(catalog: Catalog, s: Update, params: dict | None = None) -> ZSet:
         if name not in table.domains:
             raise DialectError(f"{s.table} has no column {name}")
         sets[name] = literal(check(table, table.schema[name], _value(e, params))).cast(table.schema[name].dataType)
-    old, rest = _split(catalog, s.table, s.where, params)
-    new = old.withColumns(sets).select(*table.domains)
-    table.rows = rest.unionByName(new)
-    both = old.select(*table.domains).withColumns({"__epoch": F.lit(0), "__seq": F.lit(0).cast("long"), "__weight": F.lit(-1)}).unionByName(
-        new.withColumns({"__epoch": F.lit(0), "__seq": F.lit(1).cast("long"), "__weight": F.lit(1)})
-    )
-    return ZSet({s.table: both})
+    rows, meets = _judged(catalog, s.table, s.where, params)
+    hit = rows.where(meets)
+    old = hit.select(*[F.col(f"`{c}`") for c in table.domains])
+    new = hit.select(*[sets.get(c, F.col(f"`{c}`")).alias(c) for c in table.domains])
+    table.changed(rows.select(*[(F.when(meets, sets[c]).otherwise(F.col(f"`{c}`")) if c in sets else F.col(f"`{c}`")).alias(c) for c in table.domains]))
+    weighted = lambda df, seq, weight: df.withColumns({"__epoch": F.lit(0), "__seq": F.lit(seq).cast("long"), "__weight": F.lit(weight)})
+    return ZSet({s.table: weighted(old, 0, -1).unionByName(weighted(new, 1, 1))})
 
 
 def run_tree(catalog: Catalog, tree, params: dict | None = None, **options) -> Mutation | Rows | Ddl:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,15 +162,20 @@ class Lowering:
             else:
                 rest.append(c)
         for c in rest:
-            marks = {}
-            for k, node in enumerate(n for n in walk(c) if isinstance(n, In) and isinstance(n.among, Sub)):
-                item, sub = self._sub(node, scope)
-                marks[node] = f"__mark{k}"
-                values = sub.withColumnRenamed(sub.columns[0], "__v").where("__v is not null").distinct().withColumn(marks[node], F.lit(True))
-                df = df.join(values, item == F.col("__v"), "left").drop("__v")
-            df = df.where(self.predicate(c, scope, marks)).drop(*marks.values())
+            marked, meets, made = self.marked(df, c, scope)
+            df = marked.where(meets).drop(*made)
         return df
 
+    def marked(self, df: DataFrame, e, scope: Scope) -> tuple[DataFrame, Column, list[str]]:
+        """df with a mark column for each IN subquery of e, the predicate over it, and the marks' names. No row is lost or repeated."""
+        marks: dict = {}
+        for node in (n for n in walk(e) if isinstance(n, In) and isinstance(n.among, Sub)):
+            item, sub = self._sub(node, scope)
+            marks[node] = f"__mark{len(marks)}"
+            values = sub.withColumnRenamed(sub.columns[0], "__v").where("__v is not null").distinct().withColumn(marks[node], F.lit(True))
+            df = df.join(values, item == F.col("__v"), "left").drop("__v")
+        return df, self.predicate(e, scope, marks), list(marks.values())
+
     def _sub(self, e: In, scope: Scope) -> tuple[Column, DataFrame]:
         sub = self.select(e.among.select)
         if len(sub.df.columns) != 1:
@@ -341,12 +345,3 @@ class Prepared:
 
     def run(self, catalog: Catalog, params: dict | None = None, **options) -> DataFrame:
         return query(catalog, self.tree, params, **options)
-
-
-def row_predicate(catalog: Catalog, table: str, where, params: dict | None) -> tuple[Scope, Lowering]:
-    """Scope and lowering for a predicate over one table's own column names."""
-    return Scope([(table, catalog[table], "")]), Lowering(catalog, params)
-
-
-def all_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, columns, F.lit(True))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -21,3 +23,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once and read back, so that its lineage is short and lost executors cost nothing but the read.
+
+    The folder is spark.checkpoint.dir, which all machines share; one of our own only where that is unset.
+    """
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.plans.dialect import ColumnDef, CreateTable, DialectError, Index
+from brindle.session import settled
 
 _SPARK = {"I64": T.LongType(), "STRING": T.StringType(), "UUID": T.StringType()}
+#: Changes of a table between two writes of its snapshot.
+CHANGES = 16
 UUID_PATTERN = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
@@ -34,9 +37,13 @@ class Table:
     key: tuple[str, ...]
     rows: DataFrame
     indexes: tuple[Index, ...] = ()
+    changes: int = 0  # since the snapshot was last written
 
-    def as_written(self) -> dict[str, str]:
-        return self.domains
+    def changed(self, rows: DataFrame, every: int | None = None) -> None:
+        """A new snapshot. After CHANGES of them it is written, as plans grow with each change."""
+        self.rows, self.changes = rows, self.changes + 1
+        if self.changes >= (every or CHANGES):
+            self.rows, self.changes = settled(rows), 0
 
 
 def domain_of(kind: T.DataType) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.delta import ZSet, apply_zset
+from brindle.session import settled
 from brindle.sources.catalog import Catalog
 from brindle.streaming.reactive import Registry
 
@@ -60,7 +61,7 @@ class SyncClient:
     def execute(self, stream: int, command: Command) -> tuple[int, ZSet]:
         """Runs the command on the local tables; (sequence number, its changes) to be sent."""
         lane = self.lanes[stream]
-        changes = command(self.catalog)
+        changes = command(self.catalog).map(settled)  # the log of pending changes; later plans read it, not what it was made of
         seq, lane.next_seq = lane.next_seq, lane.next_seq + 1
         lane.pending[seq] = changes
         self.registry.notify(changes)

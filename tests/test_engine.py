@@ -126,6 +126,30 @@ def test_dml(db):
             dml.execute(db, bad)
 
 
+def test_changes_of_subquery_rows(db):
+    where = "users.age > 28 OR users.id IN (SELECT orders.user_id FROM orders WHERE orders.amount < 100)"
+    out = dml.execute(db, f"UPDATE users SET age = NULL WHERE {where}")
+    assert sorted(rows(out.changes.parts["users"].select("id", "__weight"))) == [(k, w) for k in (1, 2, 3) for w in (-1, 1)]
+    assert db["users"].rows.columns == ["id", "name", "age"] and all(r[2] is None for r in rows(db["users"].rows))
+    assert dml.execute(db, "DELETE FROM users WHERE users.age = 1").changes.is_empty() and db["users"].rows.count() == 4
+    assert dml.execute(db, "DELETE FROM users").changes.parts["users"].count() == 4 and db["users"].rows.isEmpty()
+
+
+def test_many_changes_keep_plans_short(db):
+    want = {k: (k, n, a) for k, n, a in rows(db["users"].rows)}
+    for k in range(20):
+        dml.execute(db, "UPDATE users SET age = :a WHERE users.age < :m OR users.id = :i", {"a": k, "m": k - 3, "i": k % 4 + 1})
+        want = {i: (i, n, k) if a is not None and a < k - 3 or i == k % 4 + 1 else (i, n, a) for i, n, a in want.values()}
+        dml.execute(db, "INSERT INTO users VALUES (:k, 'n', NULL)", {"k": 100 + k}) if k % 5 == 0 else dml.execute(db, "DELETE FROM users WHERE users.id = :k", {"k": 96 + k})
+        want = want | {100 + k: (100 + k, "n", None)} if k % 5 == 0 else {i: r for i, r in want.items() if i != 96 + k}
+    assert sorted(rows(db["users"].rows), key=str) == sorted(want.values(), key=str)
+    assert len(db["users"].rows._jdf.queryExecution().analyzed().toString()) < 60_000
+    db.attach("bag", db["orders"].rows.select("amount"))
+    for k in range(9):
+        apply_zset(db, ZSet.of("bag", db["bag"].rows.sparkSession.createDataFrame([(7,)], "amount long"), -1 if k % 3 == 2 else 1))
+    assert sorted(r[0] for r in rows(db["bag"].rows)) == [7, 7, 7, 50, 100, 200, 300]
+
+
 def replay(base, delta, key):
     """One entry after another."""
     out = list(base)
