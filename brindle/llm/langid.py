@@ -3,8 +3,9 @@
 Features are byte 2- and 3-grams of the whole lower-cased text (letters only, words apart by one space), hashed to DIM buckets.
 First linear support vector machines, one for each language family against the rest, choose the family; then one-versus-one
 machines separate the languages of that family, by votes and then by summed margins. All are trained by dual coordinate descent
-(Hsieh et al., 2008) on the driver, from a bounded sample of the labelled rows: at most PER_LANG texts of each of the MOST_LANGS most
-frequent languages, those with the smallest text hash. Every other step works on all rows, without a shuffle.
+(Hsieh et al., 2008) on the driver, from a bounded sample of the labelled rows: at most PER_LANG different texts of each of the
+MOST_LANGS most frequent languages, those with the smallest text hash; a text counts once, however often it is copied. Every other
+step works on all rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -147,22 +148,29 @@ class Model:
 
 def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     """A model of the rows of docs where usable holds and lang and text aren't null."""
-    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
     if not counts:
         return Model([])
-    part = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, min(1.0, 4.0 * per_lang / n))])
-    place = F.xxhash64(F.lit(3), "text")
-    near = labelled.where(F.col("lang").isin([r[0] for r in counts])).where(F.abs(place / float(1 << 63)) <= F.element_at(part, F.col("lang"))).withColumn("__h", place)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("__h") / float(1 << 63)), "__h"))
-    chosen = near.withColumn("__n", nth).where(F.col("__n") <= per_lang)
+    part = F.create_map(*[F.lit(x) for lang, _, n in counts for x in (lang, min(1.0, 4.0 * per_lang / max(1, n)))])
+    place = F.abs(F.col("h") / float(1 << 63))
+    near = labelled.where(F.col("lang").isin([r[0] for r in counts])).where(place <= F.element_at(part, F.col("lang"))).select("lang", "h").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    chosen = near.withColumn("__n", nth).where(F.col("__n") <= per_lang).select("lang", "h")  # at most per_lang rows for each language
+    wanted = labelled.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            found = [(lang, *features(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1].tobytes() for x in found], pa.binary()), pa.array([x[2].tobytes() for x in found], pa.binary())], names=["lang", "idx", "n"])
-
-    got = chosen.select("lang", "text").mapInArrow(run, "lang string, idx binary, n binary").collect()  # at most per_lang rows for each language
+            found = []
+            for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, h) not in seen and has_letter(text):
+                    seen.add((lang, h))
+                    found.append((lang, h, *(x.tobytes() for x in features(text))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "h", "idx", "n"])
+
+    each = wanted.select("lang", "text", "h").mapInArrow(run, "lang string, h long, idx binary, n binary")
+    got = each.groupBy("lang", "h").agg(F.min(F.struct("idx", "n")).alias("x")).select("lang", "x.idx", "x.n").collect()
     samples = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in got]
     return Model(sorted(samples, key=lambda s: (s[0], s[1].tobytes(), s[2].tobytes())))
 

@@ -131,6 +131,9 @@ def test_langid(spark, empty):
     assert all(by[k]["lang_pred"] == "und" and by[k]["score"] == 0 for k in (900, 901, 902)) and by[None]["lang_pred"] == "en"
     test = [r for r in data if held(r[0], 4, 2)]
     assert sum(by[r[0]]["lang_pred"] == r[2] for r in test) >= 0.97 * len(test) > 100
+    copied = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(3000)).select(*docs.columns))
+    again = langid.learned_from(copied)  # copies take no places in the sample
+    assert (again.root == model.root).all() and all((a == b).all() for a, b in zip(again.pairs, model.pairs, strict=True))
     kept = langid.keep_identified(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in out(kept)}.isdisjoint({900, 901, 902}) and kept.count() >= 0.97 * len(data)
     assert langid.identify(empty, langid.learned_from(empty), ["doc_id"]).count() == 0
