@@ -9,6 +9,7 @@ where there are any, and the full predicate is verified after the join. Many sub
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -185,6 +186,7 @@ class Registry:
         self.by_text: dict[tuple, int] = {}
         self.known: dict[int, tuple[tuple, Select, dict, list[tuple]]] = {}
         self.handles: dict[int, int] = {}
+        self.holders: Counter = Counter()
         self._next_id = itertools.count(1)
         self._next_handle = itertools.count(1)
         self.dirty: dict[int, set[int]] = {}
@@ -206,6 +208,7 @@ class Registry:
             self.by_text[text] = sub
             self.known[sub] = (text, tree, params or {}, used)
         self.handles[handle] = self.by_text[text]
+        self.holders[self.by_text[text]] += 1
         return handle, self.by_text[text]
 
     def _add(self, sub: int, c: Condition, params: dict) -> tuple:
@@ -230,12 +233,14 @@ class Registry:
         sub = self.handles.pop(handle, None)
         if sub is None:
             return False
-        if sub not in self.handles.values():
+        self.holders[sub] -= 1
+        if not self.holders[sub]:
+            del self.holders[sub]
             text, _, _, used = self.known.pop(sub)
             del self.by_text[text]
-            for which in used:
+            for index, which in enumerate(used):
                 template = self.templates[which]
-                template.rows = {k: v for k, v in template.rows.items() if k[0] != sub}
+                del template.rows[sub, index]
                 template.frame = None
                 if not template.rows:
                     del self.templates[which]
@@ -271,6 +276,12 @@ class Registry:
     def on_zset(self, delta: ZSet) -> DataFrame:
         return self.fired({n: df.where("__weight <> 0") for n, df in delta.parts.items()})
 
+    def on_insert(self, table: str, row: dict) -> DataFrame:
+        """What one inserted row fires."""
+        return self.fired({table: self.catalog.typed(table, [row])})
+
+    on_delete = on_insert  # a deleted row fires the same
+
     # -- marking and draining
     def _mark(self, marks: dict[int, set[int]]) -> None:
         was_empty = not self.dirty

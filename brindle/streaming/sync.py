@@ -8,11 +8,14 @@ server's are applied, as one Z-set). fold() is the same rule over tables of any
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.delta import ZSet, apply_zset
 from brindle.session import settled
@@ -121,20 +124,32 @@ class EchoServer:
 
 @dataclass
 class Batcher:
-    """Sends a stream's commands in batches, one in flight: at count, or when flush is called; failures are retried."""
+    """Sends a stream's commands in batches, one in flight: at count, when the oldest has waited wait_ms (see tick), or when flush is called; failures are retried."""
 
     client: SyncClient
     server: EchoServer
     stream: int
     count: int = 1
     retries: int = 0
+    wait_ms: int | None = None
     waiting: list[tuple[int, ZSet]] = field(default_factory=list)
+    since: float = 0.0
+    clock: Callable[[], float] = time.monotonic
 
     def execute(self, command: Command) -> str:
+        if not self.waiting:
+            self.since = self.clock()
         self.waiting.append(self.client.execute(self.stream, command))
-        return self.flush() if len(self.waiting) >= self.count else "wait"
+        return self.flush() if len(self.waiting) >= self.count else self.tick()
+
+    def tick(self) -> str:
+        """Sends what has waited long enough; to be called by the host's timer."""
+        due = self.wait_ms is not None and self.waiting and (self.clock() - self.since) * 1000 >= self.wait_ms
+        return self.flush() if due else "wait"
 
     def flush(self) -> str:
+        if not self.waiting:
+            return "wait"
         sent, self.waiting, state = self.waiting, [], "wait"
         for attempt in range(self.retries + 1):
             try:
@@ -159,6 +174,33 @@ def fold(pending: DataFrame, answers: DataFrame) -> DataFrame:
     return ends.select("stream_id", "pending", state.alias("state"))
 
 
+def settle(log: DataFrame) -> DataFrame:
+    """fold() over a streaming log (stream_id, seq_no, kind: sent, confirmed or rejected): (stream_id, pending, state) whenever a stream settles.
+
+    What a stream still waits for is its state, so the state grows with open commands only. Answers may come before the log says
+    that the command was sent, as the order within a micro-batch isn't kept; repeated rows change nothing.
+    """
+
+    def one(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sent, said, good = (list(x) for x in state.get) if state.exists else ([], [], [])
+        pending, answers = set(sent), dict(zip(said, good, strict=True))
+        for frame in frames:
+            for seq, kind in zip(frame["seq_no"].tolist(), frame["kind"], strict=True):
+                if kind == "sent":
+                    pending.add(seq)
+                else:
+                    answers[seq] = kind == "confirmed"
+        found = state_of(sorted(pending), answers) if pending and answers else "wait"
+        if found == "wait":
+            state.update((sorted(pending), list(answers), list(answers.values())))
+            return
+        state.remove()
+        yield pd.DataFrame({"stream_id": [key[0]], "pending": [len(pending)], "state": [found]})
+
+    held = "sent array<long>, said array<long>, good array<boolean>"
+    return log.groupBy("stream_id").applyInPandasWithState(one, "stream_id long, pending long, state string", held, "append", GroupStateTimeout.NoTimeout)
+
+
 def latest_image(feed: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:
     """The last row of each key of an upsert feed; keys whose last row is a delete are gone."""
     rest = [c for c in feed.columns if c != key]

@@ -218,6 +218,7 @@ def test_fired_is_brute_force(db):
     got = {r.sub_id: r.conditions for r in registry.fired({"users": db.spark.createDataFrame(changed, db["users"].schema)}).collect()}
     assert got == want
     assert registry.fired({"orders": db["orders"].rows}).count() == 0
+    assert {r.sub_id for r in registry.on_insert("users", {"id": 4, "name": "Dave", "age": None}).collect()} == set(want)
     many = [t for t in registry.templates.values() if t.shape != ("const", True)]
     assert len(many) <= len(PREDICATES)
 
@@ -282,6 +283,11 @@ def test_sync_confirm_reject_wait(db):
     assert [v.reason for v in verdicts][1] == "no" and 70 not in ids(server.catalog)
     b = sync.Batcher(client, server, client.create_stream(), count=2)
     assert b.execute(add(80)) == "wait" and b.execute(add(81)) == "confirmed" and {80, 81} <= ids(server.catalog)
+    now = [0.0]
+    late = sync.Batcher(client, server, client.create_stream(), count=9, wait_ms=500, clock=lambda: now[0])
+    assert late.execute(add(90)) == "wait" and late.tick() == "wait"
+    now[0] = 0.5
+    assert late.tick() == "confirmed" and late.tick() == "wait" and 90 in ids(server.catalog)
 
 
 def test_fold_is_state_of(spark):
@@ -292,6 +298,23 @@ def test_fold_is_state_of(spark):
     assert {r.stream_id: r.state for r in got.collect()} == {s: sync.state_of(qs, {q: answers[s, q] for q in qs if (s, q) in answers}) for s, qs in lanes.items()}
 
 
+def test_settle_is_fold(spark, tmp_path):
+    rng = random.Random(4)
+    lanes = {s: range(1, rng.randrange(2, 6)) for s in range(12)}
+    answers = {(s, q): rng.random() < 0.7 for s, qs in lanes.items() for q in qs if rng.random() < 0.8}
+    parts = [[(s, q, "sent") for s, qs in lanes.items() for q in qs], [], []]
+    for k, ok in answers.items():
+        parts[rng.randrange(3)].append((*k, "confirmed" if ok else "rejected"))
+    schema = "stream_id long, seq_no long, kind string"
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    log = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+    q = sync.settle(log).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    want = {(s, len(qs), state) for s, qs in lanes.items() if (state := sync.state_of(list(qs), {k: answers[s, k] for k in qs if (s, k) in answers})) != "wait"}
+    assert set(rows(spark.read.parquet(str(tmp_path / "out")))) == want
+
+
 def test_requirements():
     asked, told = [], []
     r = Requirements(lambda k, g: asked.append((k, g)), lambda k, s: told.append((k, s)))
