@@ -26,8 +26,11 @@ SLICES = 1 << 14
 
 
 def words(text: Column) -> Column:
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WORD_GAP}|{WORD_GAP}$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, WORD_GAP))).cast("long")
+    """The pieces between gaps, less the empty ones before a gap at the start and after one at the end."""
+    text = F.coalesce(text, F.lit(""))
+    gaps = [chr(c) for c in (0x20, *range(0x09, 0x0E))]
+    ends = F.when(F.left(text, F.lit(1)).isin(gaps), 1).otherwise(0) + F.when(F.right(text, F.lit(1)).isin(gaps), 1).otherwise(0)
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, WORD_GAP)) - ends).cast("long")
 
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
@@ -104,7 +107,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     light = materialize(keyed.select("source", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__place").alias("place")), "light")
     points = plan(light, weights, repeats).withColumnsRenamed({"key": "__key", "rounds": "__rounds", "point": "__point"}).select("__key", "__rounds", "__point")
     joined = keyed.join(points, "__key")
-    times = F.when(F.col("__size") == 0, 0).otherwise(F.col("__rounds") + F.when(F.col("__place") <= F.col("__point"), 1).otherwise(0))
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # the same as size 0, without counting again
+    times = F.when(empty, 0).otherwise(F.col("__rounds") + F.when(F.col("__place") <= F.col("__point"), 1).otherwise(0))
     return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 

@@ -174,6 +174,12 @@ def brute_mix(light, weights, repeats):
     return target, taken
 
 
+def test_words(spark):
+    texts = ["", " ", "\t\n", "a", " a", "a ", " a\x0b\x0cb \r", "a\u00a0b c", "\u2003x", "ä  ö\n\nü", " " * 9 + "z", None, "x" * 5000 + " y"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", mixing.words(F.col("t"))).collect()
+    assert {k: n for k, n in got} == {k: len((t or "").encode().split()) for k, t in enumerate(texts)}
+
+
 def test_mixing(docs, empty):
     keyed = mixing._keyed(docs, mixing.SEED)
     light = keyed.select("doc_id", "source", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__place").alias("place"))
