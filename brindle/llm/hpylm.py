@@ -1,9 +1,10 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: each of the CONTEXTS most frequent training tokens is a context with a restaurant of its own; all contexts share CLASSES
-class restaurants (by the hash of the context's last two bytes), which are the parents of the word contexts and serve the other
-contexts directly; the classes share the root, whose base is uniform over the vocabulary and one unknown word. So the number of
-restaurants is bounded by parameters, while their dishes (all training tokens) grow with the corpus and are never cut.
+Restaurants: each training token that is a context has a restaurant of its own; they share CLASSES class restaurants (by the hash of
+the context's last two bytes), which are their parents and serve contexts that never occur in training; the classes share the root,
+whose base is uniform over the vocabulary and one unknown word. Neither restaurants nor dishes are bounded. The totals of the
+CONTEXTS most frequent contexts are arrays that every task has; those of all others are rows by the context's key (its hash and
+class), summed by ranges of keys and sent back to the buckets that hold dishes of the context.
 
 Training: each map task counts (word, context) pairs in its own dictionary and sends packed arrays by the word's hash, so that all
 dishes of a word meet in one bucket, whatever the word's frequency. Seating is sampled by Gibbs: each sweep takes customers of every
@@ -13,8 +14,8 @@ held fixed within one (as in approximate distributed Gibbs sampling, Newman et a
 lost executor's work is repeated to the same state, and no state is stored.
 
 Scoring: a token's probability is the mean over the sampled seatings after BURN_IN. For the CONTEXTS most frequent words it is looked
-up in a broadcast table of CONTEXTS by CONTEXTS + CLASSES; the other words' occurrences go to their buckets, packed, and return as
-sums for each document. Texts are never shuffled.
+up in a broadcast table of CONTEXTS by CONTEXTS; all other pairs of context and word go to the words' buckets, packed, and return as
+sums for each document. Totals of contexts of which a bucket has no dish are asked for by key. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -106,14 +107,20 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _restaurant(pack: _Pack, hashes: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each local word: its rank among the most frequent (or -1), and the restaurant it is the context of."""
+    """For each local word: its rank among the most frequent (or -1), and the restaurant it is the context of: the rank, or a key."""
     sorted_, rank_of = top
     rank = np.full(len(hashes), -1, np.int64)
     if len(sorted_):
         at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
         rank = np.where(sorted_[at] == hashes, rank_of[at], -1)
-    classes = np.fromiter((_CLASS_OF[w[-2:]] for w in pack.ids), np.int64, len(pack.ids)) + CONTEXTS
-    return rank, np.where(rank >= 0, rank, classes)
+    classes = np.fromiter((_CLASS_OF[w[-2:]] for w in pack.ids), np.uint64, len(pack.ids))
+    keys = (hashes | np.uint64(1 << 63)) & ~np.uint64(CLASSES - 1) | classes
+    return rank, np.where(rank >= 0, rank.astype(np.uint64), keys)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range of keys, in their order."""
+    return ((keys >> np.uint64(33) & np.uint64((1 << 30) - 1)) * np.uint64(parts) >> np.uint64(30)).astype(np.int64)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,24 +149,35 @@ def _counts(training: DataFrame) -> DataFrame:
 
 
 _TYPES = "bucket int, h binary, n binary, ctx binary, cnt binary"
+_SUMS = "r long, c double, t double, part int, bucket int, keys binary, cs binary, ts binary"
+_SIDES = "bucket int, part int, k int, keys binary, cs binary, ts binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    names = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(names)], names=[n for n, _ in names])
 
 
 def _types(training: DataFrame, top, buckets: int) -> DataFrame:
-    """One row a bucket: its words' hashes (sorted), their numbers of contexts, and the contexts and counts."""
+    """One row a bucket: its words' hashes (sorted), their numbers of contexts, the contexts and counts, and the contexts' keys (sorted).
+
+    A context is its rank among the most frequent, or RESTAURANTS and the place of its key.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _packs(batches, 1):
             h, w = pack.hashes(), pack.words()
             _, room = _restaurant(pack, h, top.value)
             order, place, bucket_at = _by_bucket(h, buckets)
-            code = np.sort(place[w] * RESTAURANTS + room[np.r_[0, w[:-1]]])
+            code = np.sort(place[w] * len(h) + np.r_[0, w[:-1]])
             start, n = _runs(code)
-            word, ctx = code[start] // RESTAURANTS, code[start] % RESTAURANTS
+            word, ctx = code[start] // len(h), room[code[start] % len(h)]
             dealt, h = bucket_at[word], h[order]
             rows = []
             for s, m in zip(*_runs(dealt), strict=True):
                 first, k = _runs(word[s : s + m])
-                rows.append((int(dealt[s]), h[word[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].astype(np.uint16).tobytes(), n[s : s + m].astype(np.int64).astype(np.uint32).tobytes()))
+                rows.append((int(dealt[s]), h[word[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].astype(np.int64).astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 5))], names=["bucket", "h", "n", "ctx", "cnt"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +188,9 @@ def _types(training: DataFrame, top, buckets: int) -> DataFrame:
             start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
             h, ctx, cnt = h[start], ctx[start], np.add.reduceat(cnt, start)
             first, k = _runs(h)
-            row = (h[first].tobytes(), k.astype(np.int32).tobytes(), ctx.tobytes(), cnt.astype(np.int64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], names=["bucket", "h", "n", "ctx", "cnt"])
+            keys = np.unique(ctx[ctx >= CONTEXTS])
+            ctx = np.where(ctx < CONTEXTS, ctx.astype(np.int64), RESTAURANTS + np.searchsorted(keys, ctx)).astype(np.int32)
+            return _batch([(bucket, h[first].tobytes(), k.astype(np.int32).tobytes(), ctx.tobytes(), cnt.astype(np.int64).tobytes(), keys.tobytes())], _TYPES + ", keys binary")
 
         now, parts = None, []
         for batch in batches:
@@ -180,12 +199,12 @@ def _types(training: DataFrame, top, buckets: int) -> DataFrame:
                     yield done(now, parts)
                     parts = []
                 now = r["bucket"]
-                parts.append((np.repeat(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)), np.frombuffer(r["ctx"], np.uint16), np.frombuffer(r["cnt"], np.uint32).astype(np.int64)))
+                parts.append((np.repeat(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)), np.frombuffer(r["ctx"], np.uint64), np.frombuffer(r["cnt"], np.uint32).astype(np.int64)))
         if parts:
             yield done(now, parts)
 
     sent = training.mapInArrow(count, _TYPES)
-    return sent.repartition(shuffle_partitions(training.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _TYPES)
+    return sent.repartition(shuffle_partitions(training.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _TYPES + ", keys binary")
 
 
 class Seating:
@@ -262,43 +281,67 @@ class Seating:
 class Bucket:
     """One bucket's words and the sampled seatings of all their dishes."""
 
-    def __init__(self, bucket: int, h: bytes, n: bytes, ctx: bytes, cnt: bytes):
+    def __init__(self, bucket: int, h: bytes, n: bytes, ctx: bytes, cnt: bytes, keys: bytes = b"", sides: tuple = ()):
+        """sides: (sweep, customers, tables) of ranges of the keys, by sweep and range; customers are empty after the first."""
         self.h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)
-        word, ctx, cnt = np.repeat(np.arange(len(n)), n), np.frombuffer(ctx, np.uint16).astype(np.int64), np.frombuffer(cnt, np.int64)
-        self.bucket = bucket
-        self.c = np.add.reduceat(cnt, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
-        leaf = ctx < CONTEXTS
-        self.leaf_word, self.leaf_ctx, self.leaf_n = word[leaf], ctx[leaf], cnt[leaf]
-        self.word, self.ctx, self.cnt = word, ctx, cnt
+        self.leaf_word, self.leaf_ctx, self.leaf_n = np.repeat(np.arange(len(n)), n), np.frombuffer(ctx, np.int32).astype(np.int64), np.frombuffer(cnt, np.int64)
+        self.bucket, self.keys = bucket, np.frombuffer(keys, np.uint64)
+        self.rooms = RESTAURANTS + len(self.keys)
+        self.c = np.add.reduceat(self.leaf_n, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
+        self.rest_c = np.frombuffer(b"".join(c for k, c, _ in sides if k == 0), np.uint32).astype(np.float64)
+        self.rest_t = [np.frombuffer(b"".join(t for k, _, t in sides if k == j), np.uint32).astype(np.float64) for j in range(SWEEPS + 1)]
+        self.extra_keys = np.zeros(0, np.uint64)
+
+    def know(self, extras: list[tuple]) -> None:
+        """(keys, customers, tables of all sweeps) of contexts without a dish here; they come after the others."""
+        if extras:
+            keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in extras])
+            order = np.argsort(keys)
+            tables = np.concatenate([np.frombuffer(t, np.uint32).reshape(SWEEPS + 1, -1) for _, _, t in extras], axis=1)
+            self.extra_keys = keys[order]
+            self.rest_c = np.r_[self.rest_c, np.concatenate([np.frombuffer(c, np.uint32) for _, c, _ in extras])[order]]
+            self.rest_t = [np.r_[own, t[order]] for own, t in zip(self.rest_t, tables, strict=True)]
+
+    def room(self, ctx: np.ndarray) -> np.ndarray:
+        """Rooms of contexts given by rank or key: those without customers have only their class."""
+        own, extra = _find(self.keys, ctx), _find(self.extra_keys, ctx)
+        known = np.where(own >= 0, RESTAURANTS + own, np.where(extra >= 0, self.rooms + extra, CONTEXTS + (ctx & np.uint64(CLASSES - 1)).astype(np.int64)))
+        return np.where(ctx < CONTEXTS, ctx.astype(np.int64), known)
+
+    def classes(self, class_of: np.ndarray) -> np.ndarray:
+        """The class of each room."""
+        return np.r_[class_of, np.arange(CLASSES), (np.r_[self.keys, self.extra_keys] & np.uint64(CLASSES - 1)).astype(np.int64)]
 
     def link(self, class_of: np.ndarray) -> None:
-        """class_of: the class (from 0) of each word context."""
-        code = self.leaf_word * CLASSES + class_of[self.leaf_ctx]
-        direct = self.ctx >= CONTEXTS
-        own = self.word[direct] * CLASSES + self.ctx[direct] - CONTEXTS
-        self.pairs = np.sort(np.r_[code, own])
-        self.pairs = self.pairs[_runs(self.pairs)[0]]
+        """class_of: the class (from 0) of each of the most frequent contexts."""
+        code = self.leaf_word * CLASSES + self.classes(class_of)[self.leaf_ctx]
+        self.pairs = np.unique(code)
         self.leaf_pair = np.searchsorted(self.pairs, code)
-        self.direct = np.bincount(np.searchsorted(self.pairs, own), self.cnt[direct], len(self.pairs)).astype(np.int64)
         self.pair_word, self.pair_class = self.pairs // CLASSES, self.pairs % CLASSES
 
     def start(self) -> np.ndarray:
         """Totals with one table for each dish."""
-        pair_n = self.direct + np.bincount(self.leaf_pair, minlength=len(self.pairs))
+        pair_n = np.bincount(self.leaf_pair, minlength=len(self.pairs))
         return self._totals(np.ones(len(self.leaf_n)), pair_n, np.ones(len(self.pairs)), np.bincount(self.pair_word, minlength=len(self.h)), np.ones(len(self.h)))
 
     def _totals(self, leaf_t, pair_n, pair_t, root_n, root_t) -> np.ndarray:
-        """Customers and tables of the word contexts, the classes and the root."""
+        """Customers and tables of the most frequent contexts, the classes and the root."""
         out = np.zeros((2, RESTAURANTS + 1))
-        out[0, :CONTEXTS], out[1, :CONTEXTS] = np.bincount(self.leaf_ctx, self.leaf_n, CONTEXTS), np.bincount(self.leaf_ctx, leaf_t, CONTEXTS)
+        out[0, :CONTEXTS], out[1, :CONTEXTS] = (np.bincount(self.leaf_ctx, x, self.rooms)[:CONTEXTS] for x in (self.leaf_n, leaf_t))
         out[0, CONTEXTS:-1], out[1, CONTEXTS:-1] = np.bincount(self.pair_class, pair_n, CLASSES), np.bincount(self.pair_class, pair_t, CLASSES)
         out[0, -1], out[1, -1] = root_n.sum(), root_t.sum()
         return out
 
+    def report(self, leaf_t: np.ndarray, parts: int, first: bool) -> list[tuple]:
+        """Rows of _SUMS: the customers (only at first) and tables that the keys have here."""
+        c, t = (np.bincount(self.leaf_ctx, x, self.rooms)[RESTAURANTS:].astype(np.uint32) for x in (self.leaf_n, leaf_t))
+        at = _part(self.keys, parts)
+        return [(None, None, None, int(at[s]), self.bucket, self.keys[s : s + m].tobytes(), c[s : s + m].tobytes() if first else b"", t[s : s + m].tobytes()) for s, m in zip(*_runs(at), strict=True)]
+
     def run(self, totals: list[np.ndarray], vocabulary: int) -> Iterator[tuple]:
         """For each sweep: (totals, leaf tables, pair customers, pair tables, root customers, root tables)."""
         (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        pair_n, root_n = self.direct + np.bincount(self.leaf_pair, minlength=len(self.pairs)), np.bincount(self.pair_word, minlength=len(self.h))
+        pair_n, root_n = np.bincount(self.leaf_pair, minlength=len(self.pairs)), np.bincount(self.pair_word, minlength=len(self.h))
         pair_t, root_t = np.ones(len(self.pairs), np.int64), np.ones(len(self.h), np.int64)
         many = np.flatnonzero(self.leaf_n > 1)
         leaf_t = np.ones(len(self.leaf_n), np.int64)
@@ -309,12 +352,12 @@ class Bucket:
             p0 = (root_n - d0 * root_t + (s0 + d0 * tables[-1]) / (vocabulary + 1)) / (s0 + customers[-1])
             room = CONTEXTS + self.pair_class
             p1 = (pair_n - d1 * pair_t + (s1 + d1 * tables[room]) * p0[self.pair_word]) / (s1 + customers[room])
-            new2 = ((s2 + d2 * tables[self.leaf_ctx]) * p1[self.leaf_pair])[many]
+            new2 = ((s2 + d2 * np.r_[tables[:RESTAURANTS], self.rest_t[k]][self.leaf_ctx]) * p1[self.leaf_pair])[many]
             leaf = leaf or Seating(self.leaf_n[many], new2, d2, rng)
             leaf.rng = rng
             leaf.sweep(new2, MOVES)
             leaf_t[many] = leaf.tables()
-            pair_n = self.direct + np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64)
+            pair_n = np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64)
             new1 = (s1 + d1 * tables[room]) * p0[self.pair_word]
             pair = pair or Seating(pair_n, new1, d1, rng)
             pair.rng = rng
@@ -333,11 +376,11 @@ class Bucket:
     def probabilities(self, totals: list[np.ndarray], vocabulary: int, class_of: np.ndarray, ask) -> list[np.ndarray]:
         """Mean predictive probabilities; ask: (index of the word or -1 if unknown, restaurant) arrays, a pair for each result."""
         (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        code = self.leaf_word * CONTEXTS + self.leaf_ctx
+        code, class_at = self.leaf_word * self.rooms + self.leaf_ctx, self.classes(class_of)
         found = []
         for word, room in ask:
-            cls = np.where(room < CONTEXTS, class_of[np.minimum(room, CONTEXTS - 1)], room - CONTEXTS)
-            at1, at2 = _find(self.pairs, np.where(word >= 0, word * CLASSES + cls, -1)), _find(code, np.where((word >= 0) & (room < CONTEXTS), word * CONTEXTS + room, -1))
+            cls = class_at[room]
+            at1, at2 = _find(self.pairs, np.where(word >= 0, word * CLASSES + cls, -1)), _find(code, np.where((word >= 0) & (room < self.rooms), word * self.rooms + room, -1))
             found.append((word, room, cls, at1, at2, np.zeros(len(word))))
         samples = 0
         for k, (_, leaf_t, pair_n, pair_t, root_n, root_t) in enumerate(self.run(totals[:-1], vocabulary)):
@@ -346,12 +389,13 @@ class Bucket:
             customers, tables = totals[k + 1]
             a0 = np.r_[(root_n - d0 * root_t) / (s0 + customers[-1]), 0.0]  # the last: not in the bucket
             a1 = np.r_[(pair_n - d1 * pair_t) / (s1 + customers[CONTEXTS + self.pair_class]), 0.0]
-            a2 = np.r_[(self.leaf_n - d2 * leaf_t) / (s2 + customers[self.leaf_ctx]), 0.0]
+            c2, t2 = np.r_[customers[:RESTAURANTS], self.rest_c], np.r_[tables[:RESTAURANTS], self.rest_t[k + 1]]
+            a2 = np.r_[(self.leaf_n - d2 * leaf_t) / (s2 + c2[self.leaf_ctx]), 0.0]
             b0 = (s0 + d0 * tables[-1]) / (s0 + customers[-1]) / (vocabulary + 1)
-            b1, b2 = (s1 + d1 * tables[CONTEXTS:-1]) / (s1 + customers[CONTEXTS:-1]), (s2 + d2 * tables[:CONTEXTS]) / (s2 + customers[:CONTEXTS])
+            b1, b2 = (s1 + d1 * tables[CONTEXTS:-1]) / (s1 + customers[CONTEXTS:-1]), (s2 + d2 * t2) / (s2 + c2)
             for word, room, cls, at1, at2, total in found:
                 p = a1[at1] + b1[cls] * (a0[word] + b0)
-                total += np.where(room < CONTEXTS, a2[at2] + b2[np.minimum(room, CONTEXTS - 1)] * p, p)
+                total += np.where((room >= CONTEXTS) & (room < RESTAURANTS), p, a2[at2] + b2[room] * p)
             samples += 1
         return [f[-1] / samples for f in found]
 
@@ -364,14 +408,35 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == wanted, at, -1)
 
 
-def _load(row: dict, class_of: np.ndarray) -> Bucket:
-    b = Bucket(row["bucket"], row["h"], row["n"], row["ctx"], row["cnt"])
+def _load(row: dict, class_of: np.ndarray, sides: tuple = ()) -> Bucket:
+    b = Bucket(row["bucket"], row["h"], row["n"], row["ctx"], row["cnt"], row["keys"], sides)
     b.link(class_of)
     return b
 
 
+def _side(r: dict) -> tuple:
+    return r["flush"] >> 32, r["h"], r["n"]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], class_of: np.ndarray) -> Iterator[Bucket]:
+    """From rows of a model by bucket, kind and flush."""
+    row, sides = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] == 0:
+                if row:
+                    yield _load(row, class_of, tuple(sides))
+                row, sides = r | {"keys": r["doc"]}, []
+            else:
+                sides.append(_side(r))
+    if row:
+        yield _load(row, class_of, tuple(sides))
+
+
 class Trained:
-    """top: (hashes, ranks) of the most frequent tokens; class_of: their classes; totals: of each sweep; types: the buckets."""
+    """top: (hashes, ranks) of the most frequent tokens; class_of: their classes; totals: of each sweep; types: the buckets; sides: the
+    other contexts' totals of each sweep, for each bucket that has dishes of them and (bucket -1) for all.
+    """
 
     def __init__(self, training: DataFrame):
         """training (key, text): all rows are learned from."""
@@ -387,43 +452,131 @@ class Trained:
         self.class_of = np.zeros(CONTEXTS, np.int64)
         self.class_of[: len(best)] = [r[2] for r in best]
         self.types = materialize(_types(training, shared, self.buckets), "types")
-        vocabulary = self.vocabulary
-        self.totals = [self._sum(lambda b: b.start())]
-        for _ in range(SWEEPS):
-            so_far = list(self.totals)
-            self.totals.append(self._sum(lambda b, so_far=so_far: [x[0] for x in b.run(so_far, vocabulary)][-1]))
+        self.totals, self.sides = [], []
+        for _ in range(SWEEPS + 1):
+            self._sum()
+
+    def rows(self) -> DataFrame:
+        """Types (kind 0) and totals of their contexts (kind 1) as rows of _SENT."""
+        empty = F.lit(b"")
+        out = self.types.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("flush"), "h", "n", "ctx", "cnt", F.col("keys").alias("doc"))
+        for side in self.sides:
+            flush = F.shiftleft(F.col("k").cast("long"), 32) + F.col("part")
+            out = out.unionByName(side.where("bucket >= 0").select("bucket", F.lit(1).alias("kind"), flush.alias("flush"), F.col("cs").alias("h"), F.col("ts").alias("n"), empty.alias("ctx"), empty.alias("cnt"), empty.alias("doc")))
+        return out
+
+    def dealt(self) -> DataFrame:
+        if not self.sides:
+            return self.rows()
+        return self.rows().repartition(shuffle_partitions(self.types.sparkSession), "bucket").sortWithinPartitions("bucket", "kind", "flush")
 
-    def _sum(self, of) -> np.ndarray:
-        class_of = self.class_of
+    def _sum(self) -> None:
+        """The next sweep's totals (the first: one table a dish)."""
+        class_of, totals, vocabulary, parts, k = self.class_of, list(self.totals), self.vocabulary, self.buckets, len(self.totals)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, RESTAURANTS + 1))
+            for b in _buckets(batches, class_of):
+                now, leaf_t = [x[:2] for x in b.run(totals, vocabulary)][-1] if k else (b.start(), np.ones(len(b.leaf_n)))
+                total += now
+                if rows := b.report(leaf_t, parts, k == 0):
+                    yield _batch(rows, _SUMS)
+            yield _batch([(r, *total[:, r], -1, None, None, None, None) for r in range(RESTAURANTS + 1)], _SUMS)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def done(part: int, rows: list) -> pa.RecordBatch:
+                keys, at = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), return_inverse=True)
+                t = np.bincount(at, np.concatenate([np.frombuffer(r["ts"], np.uint32) for r in rows])).astype(np.uint32)
+                c = np.bincount(at, np.concatenate([np.frombuffer(r["cs"], np.uint32) for r in rows])).astype(np.uint32) if k == 0 else None
+                out, s = [(-1, part, k, keys.tobytes() if k == 0 else b"", c.tobytes() if k == 0 else b"", t.tobytes())], 0
+                for r in rows:
+                    own = at[s : s + len(r["keys"]) // 8]
+                    s += len(own)
+                    out.append((r["bucket"], part, k, b"", c[own].tobytes() if k == 0 else b"", t[own].tobytes()))
+                return _batch(out, _SIDES)
+
+            now, rows = None, []
             for batch in batches:
-                for row in batch.to_pylist():
-                    total += of(_load(row, class_of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RESTAURANTS + 1)), pa.array(total[0]), pa.array(total[1])], names=["r", "c", "t"])
-
+                for r in batch.to_pylist():
+                    if r["part"] != now and rows:
+                        yield done(now, rows)
+                        rows = []
+                    now = r["part"]
+                    rows.append(r)
+            if rows:
+                yield done(now, rows)
+
+        sums = materialize(self.dealt().mapInArrow(run, _SUMS), "sums")
         out = np.zeros((2, RESTAURANTS + 1))
-        for r, c, t in self.types.mapInArrow(run, "r long, c double, t double").groupBy("r").agg(F.sum("c"), F.sum("t")).collect():  # a row a restaurant
+        for r, c, t in sums.where("part < 0").groupBy("r").agg(F.sum("c"), F.sum("t")).collect():  # a row a restaurant
             out[:, r] = c, t
-        return out
+        n = shuffle_partitions(sums.sparkSession)
+        by_part = sums.where("part >= 0").select("part", "bucket", "keys", "cs", "ts").repartition(n, "part").sortWithinPartitions("part", "bucket")
+        self.sides.append(materialize(by_part.mapInArrow(add, _SIDES), "sides"))
+        self.totals.append(out)
+
+    def extras(self, asked: DataFrame) -> DataFrame:
+        """asked (key, text): rows of _SENT (kind 2) with the totals of contexts that stand before a word there, for the word's bucket."""
+        buckets, top, empty = self.buckets, asked.sparkSession.sparkContext.broadcast(self.top), F.lit(b"")
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pack in _packs(batches, 1):
+                h, w = pack.hashes(), pack.words()
+                _, room = _restaurant(pack, h, top.value)
+                ctx = np.r_[0, w[:-1]]
+                rest = room[ctx] >= CONTEXTS
+                code = np.unique(ctx[rest] * buckets + _bucket(h, buckets)[w[rest]])
+                key, to = room[code // buckets], (code % buckets).astype(np.int32)
+                order = np.argsort(key, kind="stable")
+                key, to = key[order], to[order]
+                at = _part(key, buckets)
+                if rows := [(int(at[s]), -1, key[s : s + m].tobytes(), to[s : s + m].tobytes(), b"") for s, m in zip(*_runs(at), strict=True)]:
+                    yield _batch(rows, "part int, k int, keys binary, cs binary, ts binary")
+
+        def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def done(part: int, rows: list) -> Iterator[pa.RecordBatch]:
+                asks, known = [r for r in rows if r["k"] < 0], sorted((r for r in rows if r["k"] >= 0), key=lambda r: r["k"])
+                if not asks or not known:
+                    return
+                keys, c = np.frombuffer(known[0]["keys"], np.uint64), np.frombuffer(known[0]["cs"], np.uint32)
+                t = np.stack([np.frombuffer(r["ts"], np.uint32) for r in known])
+                at, to = _find(keys, np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in asks])), np.concatenate([np.frombuffer(r["cs"], np.int32) for r in asks])
+                code = np.unique(to[at >= 0].astype(np.int64) * len(keys) + at[at >= 0])
+                to, at = code // len(keys), code % len(keys)
+                if out := [(int(to[s]), 2, part, keys[at[s : s + m]].tobytes(), c[at[s : s + m]].tobytes(), t[:, at[s : s + m]].tobytes(), b"", b"") for s, m in zip(*_runs(to), strict=True)]:
+                    yield _batch(out, _SENT)
+
+            now, rows = None, []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["part"] != now and rows:
+                        yield from done(now, rows)
+                        rows = []
+                    now = r["part"]
+                    rows.append(r)
+            if rows:
+                yield from done(now, rows)
+
+        both = asked.mapInArrow(ask, "part int, k int, keys binary, cs binary, ts binary")
+        for side in self.sides:
+            both = both.unionByName(side.where("bucket < 0").select("part", "k", "keys", "cs", "ts"))
+        return both.repartition(shuffle_partitions(asked.sparkSession), "part").sortWithinPartitions("part").mapInArrow(reply, _SENT)
 
     def frequent(self) -> np.ndarray:
-        """log10 of the mean predictive probabilities of the CONTEXTS most frequent words in every restaurant."""
+        """log10 of the mean predictive probabilities of the CONTEXTS most frequent words after one another."""
         class_of, totals, vocabulary, (sorted_, rank_of) = self.class_of, self.totals, self.vocabulary, self.top
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = _load(row, class_of)
-                    at = _find(b.h, sorted_)
-                    own = np.flatnonzero(at >= 0)
-                    ask = [(np.repeat(at[own], RESTAURANTS), np.tile(np.arange(RESTAURANTS), len(own)))]
-                    p = np.log10(b.probabilities(totals, vocabulary, class_of, ask)[0]).reshape(len(own), RESTAURANTS)
+            for b in _buckets(batches, class_of):
+                at = _find(b.h, sorted_)
+                own = np.flatnonzero(at >= 0)
+                if len(own):
+                    ask = [(np.repeat(at[own], CONTEXTS), np.tile(np.arange(CONTEXTS), len(own)))]
+                    p = np.log10(b.probabilities(totals, vocabulary, class_of, ask)[0]).reshape(len(own), CONTEXTS)
                     yield pa.RecordBatch.from_arrays([pa.array(rank_of[own]), pa.array([x.tobytes() for x in p], pa.binary())], names=["r", "p"])
 
-        out = np.zeros((CONTEXTS, RESTAURANTS))
-        for r, p in self.types.mapInArrow(run, "r long, p binary").collect():  # at most CONTEXTS rows of RESTAURANTS numbers
+        out = np.zeros((CONTEXTS, CONTEXTS))
+        for r, p in self.dealt().mapInArrow(run, "r long, p binary").collect():  # at most CONTEXTS rows of CONTEXTS numbers
             out[r] = np.frombuffer(p)
         return out
 
@@ -456,46 +609,52 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             rank, room = _restaurant(pack, h, top.value)
             sizes = np.array(pack.sizes)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            ctx = room[np.r_[0, w[:-1]]]
-            often = rank[w] >= 0
+            ctx = np.r_[0, w[:-1]]
+            often = (rank[w] >= 0) & (rank[ctx] >= 0)
             known = np.bincount(doc[often], minlength=len(sizes))
             base = np.bincount(doc[often], base_of(top_n[rank[w[often]]]), len(sizes))
-            model_ = np.bincount(doc[often], frequent.value[rank[w[often]], ctx[often]], len(sizes))
+            model_ = np.bincount(doc[often], frequent.value[rank[w[often]], rank[ctx[often]]], len(sizes))
             out = []
             w, ctx, doc = w[~often], ctx[~often], doc[~often]
             order, place, dealt = _by_bucket(h, buckets)
             h = h[order]
-            code = np.sort((place[w] * RESTAURANTS + ctx) << 16 | doc)
-            start, n = _runs(code)
-            code, n = code[start], n.astype(np.uint32)
-            w, ctx, doc = (code >> 16) // RESTAURANTS, ((code >> 16) % RESTAURANTS).astype(np.uint16), (code & 0xFFFF).astype(np.uint16)
+            code = place[w] * len(h) + ctx
+            if len(h) < 1 << 23:
+                code = np.sort(code << 16 | doc)
+                start, n = _runs(code)
+                code, doc = code[start] >> 16, (code[start] & 0xFFFF).astype(np.uint16)
+            else:  # one very long text
+                order = np.lexsort((doc, code))
+                code, doc = code[order], doc[order]
+                start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])
+                n = np.diff(np.r_[start, len(code)])
+                code, doc = code[start], doc[start].astype(np.uint16)
+            n, w, ctx = n.astype(np.uint32), code // len(h), room[code % len(h)]
             for s, m in zip(*_runs(dealt[w]), strict=True):
                 first, k = _runs(w[s : s + m])
-                out.append((int(dealt[w[s]]), 1, flush, h[w[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].tobytes(), doc[s : s + m].tobytes()))
+                out.append((int(dealt[w[s]]), 3, flush, h[w[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].tobytes(), doc[s : s + m].tobytes()))
             ids = pa.array([k["id"] for k in pack.keys], pa.int64())
             meta = pa.RecordBatch.from_arrays([ids, pa.array([bool(k["learn"]) for k in pack.keys]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model_)], names=["doc_id", "learn", "n_tokens", "known", "base", "score"])
-            out.append((flush % buckets, 2, flush, meta.serialize().to_pybytes(), b"", b"", b"", b""))
+            out.append((flush % buckets, 4, flush, meta.serialize().to_pybytes(), b"", b"", b"", b""))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), *(pa.array([r[c] for r in out], pa.binary()) for c in range(3, 8))], names=["bucket", "kind", "flush", "h", "n", "ctx", "cnt", "doc"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each flush and bucket: documents, known tokens, base and model sums."""
         now: Bucket | None = None
         held: list[dict] = []
-        size = 0
+        size, row, sides, extras = 0, None, [], []
 
         def settle() -> Iterator[pa.RecordBatch]:
             asks, counts = [], []
             for r in held:
                 h, n = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)
-                at = np.repeat(_find(now.h, h) if now else np.full(len(h), -1), n)
-                asks.append((at, np.frombuffer(r["ctx"], np.uint16).astype(np.int64)))
+                at = np.repeat(_find(now.h, h), n)
+                asks.append((at, np.frombuffer(r["ctx"], np.uint64)))
                 counts.append(np.frombuffer(r["cnt"], np.uint32).astype(np.float64))
-            blank = now or Bucket(held[0]["bucket"], b"", b"", b"", b"")  # no training word fell into this bucket
-            if not now:
-                blank.link(class_of)
-            every = tuple(np.concatenate([a[c] for a in asks]) for c in (0, 1))
-            p = np.log10(blank.probabilities(totals, vocabulary, class_of, [every])[0])
-            c = np.r_[blank.c, 0][every[0]]
+            word, ctx = (np.concatenate([a[c] for a in asks]) for c in (0, 1))
+            every = word, now.room(ctx)
+            p = np.log10(now.probabilities(totals, vocabulary, class_of, [every])[0])
+            c = np.r_[now.c, 0][every[0]]
             base, seen, at = base_of(c), c > 0, 0
             for r, n in zip(held, counts, strict=True):
                 own = slice(at, at + len(n))
@@ -506,19 +665,27 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r["flush"]], pa.int64()), pa.array([1], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([sums[0].astype(np.uint32).tobytes()], pa.binary()), pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["flush", "kind", "doc", "known", "base", "score"])
             held.clear()
 
-        bucket = None
+        bucket, nothing = None, {"h": b"", "n": b"", "ctx": b"", "cnt": b"", "keys": b""}  # no training word fell into the bucket
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["bucket"] != bucket or size > 32 << 20) and held:
                     yield from settle()
                     size = 0
                 if r["bucket"] != bucket:
-                    bucket, now = r["bucket"], None
+                    bucket, now, row, sides, extras = r["bucket"], None, nothing | {"bucket": r["bucket"]}, [], []
                 if r["kind"] == 0:
-                    now = _load(r, class_of)
+                    row = r | {"keys": r["doc"]}
                 elif r["kind"] == 1:
+                    sides.append(_side(r))
+                elif r["kind"] == 2:
+                    extras.append((r["h"], r["n"], r["ctx"]))
+                elif r["kind"] == 3:
+                    if now is None:
+                        now = _load(row, class_of, tuple(sides))
+                        now.know(extras)
+                        sides, extras = [], []
                     held.append(r)
-                    size += len(r["ctx"]) * 4
+                    size += len(r["ctx"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([r["flush"]], pa.int64()), pa.array([0], pa.int32()), pa.array([r["h"]], pa.binary()), *(pa.array([b""], pa.binary()) for _ in range(3))], names=["flush", "kind", "doc", "known", "base", "score"])
         if held:
@@ -548,8 +715,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
             yield done()
 
     n = shuffle_partitions(spark)
-    empty = F.lit(b"")
-    models = model.types.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("flush"), "h", "n", "ctx", "cnt", empty.alias("doc"))
+    models = model.rows().unionByName(model.extras(rows.where(~F.coalesce("learn", F.lit(False))).select("doc_id", "text")))
     sent = models.unionByName(rows.mapInArrow(send, _SENT)).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "flush")
     parts = sent.mapInArrow(answer, "flush long, kind int, doc binary, known binary, base binary, score binary")
     back = parts.repartition(n, "flush").sortWithinPartitions("flush", "kind")

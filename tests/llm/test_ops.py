@@ -458,6 +458,36 @@ def test_hpylm_sums_to_one(docs):
     assert np.allclose(total, 1.0)
 
 
+def rare_contexts(spark):
+    """More words than CONTEXTS; two rare contexts of one class, each with a word of its own after it."""
+    rng = random.Random(3)
+    often = [f"w{k}" for k in range(1500)] * 8
+    rng.shuffle(often)
+    texts = [" ".join(often[k : k + 100]) for k in range(0, len(often), 100)] + ["onezz red", "twozz blue"] * 5
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_hpylm_rare_contexts_keep_their_identity(spark):
+    asked = spark.createDataFrame([(1000, "onezz red"), (1001, "twozz red"), (1002, "onezz blue"), (1003, "twozz blue")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in out(hpylm.score(rare_contexts(spark).unionByName(asked), F.col("doc_id") < 1000))}
+    assert score[1000] > score[1001] + 0.5 and score[1003] > score[1002] + 0.5
+    assert all(abs(score[1000] - score[k]) < 1e-9 for k in score if k < 1000 and k >= 120 and k % 2 == 0)  # asked for by key and found in the bucket
+
+
+def test_hpylm_rare_contexts_sum_to_one(spark):
+    model = hpylm.Trained(rare_contexts(spark))
+    key = (np.uint64(xxhash.xxh64_intdigest(b"onezz")) | np.uint64(1 << 63)) & ~np.uint64(hpylm.CLASSES - 1) | np.uint64(hpylm._class(b"onezz"))
+    whole = [sorted((r for side in model.sides for r in out(side.where("bucket < 0")) if r["part"] == part), key=lambda r: r["k"]) for part in {r["part"] for r in out(model.sides[0])}]
+    total = missing = 0.0
+    for b in hpylm._buckets(iter(model.dealt().toArrow().to_batches()), model.class_of):
+        b.know([(w[0]["keys"], w[0]["cs"], b"".join(r["ts"] for r in w)) for w in whole])
+        room = b.room(np.array([key]))
+        assert room[0] >= hpylm.RESTAURANTS
+        found, missing = b.probabilities(model.totals, model.vocabulary, model.class_of, [(np.arange(len(b.h)), np.repeat(room, len(b.h))), (np.array([-1]), room)])
+        total += found.sum()
+    assert np.allclose(total + missing, 1.0)
+
+
 def test_seating_keeps_customers():
     rng = np.random.default_rng(1)
     customers = rng.integers(0, 200, 300)
