@@ -7,9 +7,10 @@ CONTEXTS most frequent contexts are arrays that every task has; those of all oth
 class), summed by ranges of keys and sent back to the buckets that hold dishes of the context.
 
 Training: each map task counts (word, context) pairs in its own dictionary and sends packed arrays by the word's hash, so that all
-dishes of a word meet in one bucket, whatever the word's frequency. Seating is sampled by Gibbs: each sweep takes customers of every
-dish from their tables and seats them anew, first in the word contexts, then (customers: their tables) in the classes, then in
-the root. Given the restaurants' totals the buckets are independent; totals are summed over all buckets after each sweep and
+dishes of a word meet in one bucket, whatever the word's frequency. Seating is sampled by Gibbs: each sweep seats all customers of
+every dish anew, first in the word contexts, then (customers: their tables) in the classes, then in the root. Only the numbers of
+tables count, and they are drawn whole from their conditional distribution given the weight of a new table (table counts as in Chen,
+Du and Buntine, 2011): by generalised Stirling numbers up to EXACT customers, beyond that by the same numbers' contour integral. Given the restaurants' totals the buckets are independent; totals are summed over all buckets after each sweep and
 held fixed within one (as in approximate distributed Gibbs sampling, Newman et al., 2009). Sweeps are seeded by bucket, so a
 lost executor's work is repeated to the same state, and no state is stored.
 
@@ -21,6 +22,7 @@ sums for each document. Totals of contexts of which a bucket has no dish are ask
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ RESTAURANTS = CONTEXTS + CLASSES
 #: Discounts and strengths of root, classes and word contexts.
 DISCOUNT, STRENGTH = (0.6, 0.75, 0.8), (1.0, 1.0, 1.0)
 SWEEPS, BURN_IN = 3, 1
-#: Customers of each dish that a sweep seats anew.
-MOVES = 2
+#: Customers of a dish up to which generalised Stirling numbers are tabulated.
+EXACT = 1024
 #: Tokens and documents that a map task packs together.
 FLUSH_TOKENS, FLUSH_DOCS = 3 << 19, 60_000
 #: The end of a text as a token; words hold no line break.
@@ -207,75 +209,105 @@ def _types(training: DataFrame, top, buckets: int) -> DataFrame:
     return sent.repartition(shuffle_partitions(training.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _TYPES + ", keys binary")
 
 
+@cache
+def _log_stirling(discount: float) -> np.ndarray:
+    """[c, t]: log of the weight of all ways to seat c customers at t tables, new tables weighing 1."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(EXACT):
+        t = np.arange(c + 1)
+        out[c + 1, : c + 1] = out[c, : c + 1] + np.log(np.maximum(c - t * discount, 1e-300))
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
+    out[1:, 0] = -np.inf
+    return out
+
+
+def _law(customers: int, new: float, discount: float) -> tuple[int, np.ndarray]:
+    """Weights of the numbers of tables of a dish of any size, and the least of them. What is left out weighs under 1e-15.
+
+    c customers sit at t tables with weight (new / d)^t / t! times the coefficient of z^c in F(z)^t, F(z) = 1 - (1 - z)^d. The
+    coefficients are integrals over z = exp(-p), p on a parabola about the cut from 1 (Weideman and Trefethen, 2007) or, far from it,
+    on a line, with 200 places; against tabulated Stirling numbers the total variation is about 1e-12.
+    """
+    c, d, scale = customers, discount, new / discount
+    low, high = -60.0, 5.0  # log p of the saddle, where c customers are the mean
+    for _ in range(60):
+        mid = (low + high) / 2
+        p = np.exp(mid)
+        low, high = (mid, high) if np.log(new) - p + (d - 1) * np.log(-np.expm1(-p)) > np.log(c) else (low, mid)
+    at = max(np.exp(high), 4 / c)
+    y, z = -np.expm1(-at), np.exp(-at)
+    f = 1 - y**d
+    t0 = min(max(scale * f, 1.0), c)
+    mean = z * d * y ** (d - 1) / f  # of a table's size
+    width = 1 / np.sqrt(max(t0 * (mean + z * z * d * (1 - d) * y ** (d - 2) / f - mean * mean), 1e-9))
+    if at < 0.2:
+        u = (np.arange(200) + 0.5) / 200 * min(np.sqrt(1 + 45 / (c * at)), 6 * width / at if width < at / 6 else np.inf)
+        p, step = at * (1 + 1j * u) ** 2, 1 + 1j * u
+    else:
+        p = at + 1j * (np.arange(200) + 0.5) / 200 * min(np.pi, 12 * width)
+        step = np.ones(200)
+    log_f = np.log(1 - (-np.expm1(-p)) ** d) - np.log(f)
+    half, middle = 10 * np.sqrt(t0) + 20, round(t0)
+    t = np.arange(max(1, int(t0 - half)), min(c, int(t0 + half)) + 1)
+    upto = np.concatenate([(np.exp(np.outer(part - middle, log_f) + c * (p - at) + middle * log_f) * step).real.sum(axis=1) for part in np.array_split(t, len(t) // 4096 + 1)])
+    weight = (t - middle) * np.log(scale * f) - np.cumsum(np.log(t))
+    return int(t[0]), np.maximum(upto, 0.0) * np.exp(weight - weight.max())
+
+
+def _draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of the dishes, from their distribution given the weights of a new table."""
+    t = np.minimum(customers, 1)
+    for k in np.flatnonzero(customers > EXACT):
+        least, weight = _law(int(customers[k]), float(new[k]), discount)
+        upto = np.cumsum(weight)
+        t[k] = least + np.searchsorted(upto, rng.random() * upto[-1], "right")
+    some = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    some = some[np.argsort(customers[some], kind="stable")]
+    for s, m in zip(*_runs(customers[some]), strict=True):
+        c = int(customers[some[s]])
+        each, ways = np.arange(1, c + 1), _log_stirling(discount)[c, 1 : c + 1]
+        for k in range(s, s + m, step := max(1, (1 << 20) // c)):
+            own = some[k : min(k + step, s + m)]
+            weight = ways + np.log(new[own])[:, None] * each
+            upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            t[own] = 1 + (upto[:, :-1] <= rng.random(len(own))[:, None] * upto[:, -1:]).sum(axis=1)
+    return t
+
+
 class Seating:
-    """Tables of many dishes: owner (the dish, ascending) and size."""
+    """Numbers of tables of many dishes. Sizes are not sampled, as nothing depends on them; owner and size are one of the seatings."""
 
     def __init__(self, customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator):
-        """customers of each dish, and the weight of a new table. Tables are drawn as customers come, in growing groups."""
-        self.d, self.rng = discount, rng
-        t, seated = np.minimum(customers, 1).astype(np.int64), np.minimum(customers, 1).astype(np.int64)
-        some = np.flatnonzero(customers > seated)
-        while len(some):
-            come = np.minimum(np.maximum(1, seated[some] // 8), customers[some] - seated[some])
-            part = new[some] / (seated[some] - discount * t[some] + new[some])
-            t[some] += rng.binomial(come, np.clip(part, 0.0, 1.0))
-            seated[some] += come
-            some = some[seated[some] < customers[some]]
-        self.owner = np.repeat(np.arange(len(customers)), t)
-        each = np.arange(len(self.owner)) - np.repeat(np.cumsum(t) - t, t)
-        tables = np.maximum(t, 1)[self.owner]
-        self.size = customers[self.owner] // tables + (each < customers[self.owner] % tables)
-        self.n = len(customers)
+        """customers of each dish, and the weight of a new table."""
+        self.d, self.rng, self.n = discount, rng, len(customers)
+        self.fit(customers, new)
 
     def tables(self) -> np.ndarray:
-        return np.bincount(self.owner, minlength=self.n)
+        return self._t
 
     def customers(self) -> np.ndarray:
-        return np.bincount(self.owner, self.size, self.n).astype(np.int64)
-
-    def _pick(self, dishes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """A table of each dish, with probability in proportion to weight."""
-        upto, ends = np.cumsum(weight), np.cumsum(self.tables())
-        first = np.r_[0, ends][dishes]
-        last = ends[dishes] - 1
-        low = np.where(first > 0, upto[first - 1], 0.0)
-        at = np.searchsorted(upto, low + self.rng.random(len(dishes)) * (upto[last] - low), "right")
-        return np.clip(at, first, last)
-
-    def remove(self, dishes: np.ndarray) -> None:
-        """One random customer of each dish (distinct, with customers) leaves."""
-        if len(dishes):
-            self.size[self._pick(dishes, self.size.astype(np.float64))] -= 1
-            left = self.size > 0
-            self.owner, self.size = self.owner[left], self.size[left]
-
-    def add(self, dishes: np.ndarray, new: np.ndarray) -> None:
-        """A customer comes to each dish (distinct): to a table by its size less the discount, or to a new one by weight new."""
-        if not len(dishes):
-            return
-        t, c = self.tables()[dishes], np.bincount(self.owner, self.size, self.n)[dishes]
-        opens = (t == 0) | (self.rng.random(len(dishes)) * (c - self.d * t + new) < new)
-        if (old := dishes[~opens]).size:
-            self.size[self._pick(old, self.size - self.d)] += 1
-        if opens.any():
-            at = np.cumsum(self.tables())[dishes[opens]]
-            self.owner, self.size = np.insert(self.owner, at, dishes[opens]), np.insert(self.size, at, 1)
+        return self._c
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), self._t)
+
+    @property
+    def size(self) -> np.ndarray:
+        out, some = np.ones(self._t.sum(), np.int64), np.flatnonzero(self._t)
+        out[(np.cumsum(self._t) - self._t)[some]] += (self._c - self._t)[some]
+        return out
 
     def fit(self, customers: np.ndarray, new: np.ndarray) -> None:
-        """Customers come and go until each dish has as many as its children have tables."""
-        while True:
-            gap = customers - self.customers()
-            if not gap.any():
-                return
-            self.remove(np.flatnonzero(gap < 0))
-            more = np.flatnonzero(gap > 0)
-            self.add(more, new[more])
-
-    def sweep(self, new: np.ndarray, moves: int) -> None:
-        some = np.flatnonzero(self.customers() > 1)
-        for _ in range(moves):
-            self.remove(some)
-            self.add(some, new[some])
+        """Each dish has as many customers as its children have tables; all are seated anew."""
+        self._c = customers.astype(np.int64)
+        self._t = _draw_tables(self._c, new, self.d, self.rng)
+
+    def sweep(self, new: np.ndarray, times: int = 1) -> None:
+        """Every customer of every dish is seated anew. A draw doesn't depend on the one before."""
+        for _ in range(times):
+            self.fit(self._c, new)
 
 
 class Bucket:
@@ -345,7 +377,6 @@ class Bucket:
         pair_t, root_t = np.ones(len(self.pairs), np.int64), np.ones(len(self.h), np.int64)
         many = np.flatnonzero(self.leaf_n > 1)
         leaf_t = np.ones(len(self.leaf_n), np.int64)
-        leaf = pair = root = None
         for k, all_ in enumerate(totals):
             rng = np.random.default_rng((self.bucket, k))
             customers, tables = all_
@@ -353,24 +384,13 @@ class Bucket:
             room = CONTEXTS + self.pair_class
             p1 = (pair_n - d1 * pair_t + (s1 + d1 * tables[room]) * p0[self.pair_word]) / (s1 + customers[room])
             new2 = ((s2 + d2 * np.r_[tables[:RESTAURANTS], self.rest_t[k]][self.leaf_ctx]) * p1[self.leaf_pair])[many]
-            leaf = leaf or Seating(self.leaf_n[many], new2, d2, rng)
-            leaf.rng = rng
-            leaf.sweep(new2, MOVES)
-            leaf_t[many] = leaf.tables()
+            leaf_t[many] = Seating(self.leaf_n[many], new2, d2, rng).tables()
             pair_n = np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64)
             new1 = (s1 + d1 * tables[room]) * p0[self.pair_word]
-            pair = pair or Seating(pair_n, new1, d1, rng)
-            pair.rng = rng
-            pair.fit(pair_n, new1)
-            pair.sweep(new1, MOVES)
-            pair_t = pair.tables()
+            pair_t = Seating(pair_n, new1, d1, rng).tables()
             root_n = np.bincount(self.pair_word, pair_t, len(self.h)).astype(np.int64)
             new0 = np.full(len(self.h), (s0 + d0 * tables[-1]) / (vocabulary + 1))
-            root = root or Seating(root_n, new0, d0, rng)
-            root.rng = rng
-            root.fit(root_n, new0)
-            root.sweep(new0, MOVES)
-            root_t = root.tables()
+            root_t = Seating(root_n, new0, d0, rng).tables()
             yield self._totals(leaf_t, pair_n, pair_t, root_n, root_t), leaf_t.copy(), pair_n, pair_t, root_n, root_t
 
     def probabilities(self, totals: list[np.ndarray], vocabulary: int, class_of: np.ndarray, ask) -> list[np.ndarray]:

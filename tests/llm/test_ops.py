@@ -501,6 +501,91 @@ def test_seating_keeps_customers():
     assert (s.customers() == wanted).all()
 
 
+class PlainSampler:
+    """Seats one customer at a time in root (None), classes and contexts, with the true totals."""
+
+    def __init__(self, vocabulary, rng):
+        self.v, self.rng, self.sizes, self.c, self.t = vocabulary, rng, defaultdict(list), Counter(), Counter()
+
+    def path(self, ctx):
+        return [("root",), ("class", hpylm._class(ctx)), ("ctx", ctx)]
+
+    def p(self, path, w):
+        p = 1 / (self.v + 1)
+        for r, d, s in zip(path, hpylm.DISCOUNT, hpylm.STRENGTH, strict=False):
+            sizes = self.sizes[r, w]
+            p = (sum(sizes) - d * len(sizes) + (s + d * self.t[r]) * p) / (s + self.c[r])
+        return p
+
+    def add(self, path, w):
+        if not path:
+            return
+        r, d, s = path[-1], hpylm.DISCOUNT[len(path) - 1], hpylm.STRENGTH[len(path) - 1]
+        sizes = self.sizes[r, w]
+        k = self.rng.choices(range(len(sizes) + 1), [n - d for n in sizes] + [(s + d * self.t[r]) * self.p(path[:-1], w)])[0]
+        self.c[r] += 1
+        if k < len(sizes):
+            sizes[k] += 1
+        else:
+            sizes.append(1)
+            self.t[r] += 1
+            self.add(path[:-1], w)
+
+    def remove(self, path, w):
+        if not path:
+            return
+        r, sizes = path[-1], self.sizes[path[-1], w]
+        k = self.rng.choices(range(len(sizes)), sizes)[0]
+        self.c[r] -= 1
+        sizes[k] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            self.t[r] -= 1
+            self.remove(path[:-1], w)
+
+
+def test_hpylm_against_a_plain_sampler(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices(WORDS, [1 / (k + 1) for k in range(len(WORDS))], k=n))
+    data = [(k, text(60)) for k in range(80)]
+    scored = {r["doc_id"]: r["score"] for r in out(hpylm.score(spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") < 60))}
+    pairs = {k: list(zip([b"\n", *t.encode().split()], [*t.encode().split(), b"\n"], strict=True)) for k, t in data}
+    plain = PlainSampler(len({w for k in range(60) for _, w in pairs[k]}), rng)
+    tokens = [x for k in range(60) for x in pairs[k]]
+    for c, w in tokens:
+        plain.add(plain.path(c), w)
+    p, held_out = defaultdict(float), [x for k in range(60, 80) for x in pairs[k]]
+    for sweep in range(15):
+        for c, w in tokens:
+            plain.remove(plain.path(c), w)
+            plain.add(plain.path(c), w)
+        if sweep >= 5:
+            for c, w in set(held_out):
+                p[c, w] += plain.p(plain.path(c), w) / 10
+    want, got = sum(math.log10(p[x]) for x in held_out), sum(scored[k] for k in range(60, 80))
+    print("held-out score:", got, "plain sampler:", want)
+    assert abs(got - want) < 0.01 * abs(want)
+
+
+@pytest.mark.parametrize(("customers", "new", "dishes"), [(60, 3.0, 3000), (1500, 20.0, 200), (1500, 600.0, 200)])
+def test_seating_against_one_customer_at_a_time(customers, new, dishes):
+    """The numbers of tables after the sweeps have the distribution that reseating single customers leads to."""
+    d, rng = 0.8, random.Random(2)
+    ways = np.array([0.0])  # by tables: log weights of the seatings of so many customers
+    for c in range(customers):
+        t = np.arange(len(ways))
+        stay = np.r_[ways + np.log(np.maximum(c - d * t, 1e-300)), -np.inf]
+        ways = np.logaddexp(stay, np.r_[-np.inf, ways])
+    weight = ways + np.arange(customers + 1) * math.log(new)
+    weight = np.exp(weight - weight.max())
+    mean = (weight * np.arange(customers + 1)).sum() / weight.sum()
+    deviation = math.sqrt((weight * (np.arange(customers + 1) - mean) ** 2).sum() / weight.sum())
+    s = hpylm.Seating(np.full(dishes, customers), np.full(dishes, new), d, np.random.default_rng(rng.randrange(99)))
+    for _ in range(3):
+        s.sweep(np.full(dishes, new), 2)  # as many sweeps as training has
+    assert abs(s.tables().mean() - mean) < 5 * deviation / math.sqrt(dishes) and 0.6 < s.tables().std() / deviation < 1.5
+
+
 def test_registry_names():
     names = registry.queries()
     assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
