@@ -146,6 +146,20 @@ for _op, _sign in (("eq", "="), ("ne", "!="), ("gt", ">"), ("ge", ">="), ("lt",
     TEXTS[f"filter_col_col_{_op}"] = (f"SELECT lineitem.l_orderkey, lineitem.l_partkey, lineitem.l_suppkey FROM lineitem WHERE lineitem.l_partkey {_sign} lineitem.l_suppkey AND lineitem.l_quantity > 40", None, {})
 
 
+#: Queries whose condition is an id prefix, again over all customers: (the prefix's place, a condition on values).
+_PREFIX, _POSITIVE = "customer.c_custkey < 20", "customer.c_acctbal > 0.0"
+_PADDING = f"{_POSITIVE} AND nation.n_regionkey > 1"  # leaves unmatched nations at any size
+
+
+def _bare(text: str) -> str:
+    return text.replace("customer.", "").replace("nation.", "")
+
+
+for _name, _condition in (("join_left", _PADDING), ("join_left_where_right", _POSITIVE), ("join_left_where_right_ref", _POSITIVE), ("agg_null_skip", _PADDING), ("agg_null_key", _PADDING), ("sort_nulls", _PADDING)):
+    _dialect, _oracle, _options = TEXTS[_name]
+    TEXTS[f"{_name}_value"] = (_dialect.replace(_PREFIX, _condition), _oracle and _oracle.replace(_bare(_PREFIX), _bare(_condition)), _options)
+
+
 def _text(name: str):
     text, _, options = TEXTS[name]
     return lambda spark, sf_dir: query(catalog(spark, sf_dir), text, **options)
@@ -237,6 +251,23 @@ def _reactive(name: str):
     return run
 
 
+def _reactive_all(name: str):
+    """Every row of events is a change."""
+
+    def run(spark, sf_dir) -> DataFrame:
+        c = catalog(spark, sf_dir, "events")
+        registry = Registry(c)
+        for u in USERS:
+            registry.subscribe(f"SELECT events.event_id FROM events WHERE {SUBSCRIPTIONS[name][0].format(u)} AND events.event_id != {u}")
+        return registry.fired({"events": c["events"].rows}).select(F.col("sub_id"), F.size("conditions").cast("long").alias("n"))
+
+    return run
+
+
+def _reactive_all_sql(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({k + 1} AS BIGINT) AS sub_id, CAST(1 AS BIGINT) AS n WHERE EXISTS (SELECT 1 FROM events WHERE {SUBSCRIPTIONS[name][1].format(u)})" for k, u in enumerate(USERS))
+
+
 def _reactive_sql(name: str) -> str:
     parts = [f"SELECT CAST({k + 1} AS BIGINT) AS sub_id, CAST(1 AS BIGINT) AS n WHERE EXISTS (SELECT 1 FROM events WHERE event_id % 10 = 3 AND ({SUBSCRIPTIONS[name][1].format(u)}))" for k, u in enumerate(USERS)]
     return " UNION ALL ".join(parts)
@@ -251,6 +282,21 @@ def reactive_two_conditions(spark, sf_dir) -> DataFrame:
     return fired.select("sub_id", F.array_join(F.col("conditions").cast("array<string>"), ",").alias("conditions"))
 
 
+def reactive_two_conditions_all(spark, sf_dir) -> DataFrame:
+    """Every row of events is a change."""
+    c = catalog(spark, sf_dir, "events")
+    registry = Registry(c)
+    for u in range(200):
+        registry.subscribe("SELECT REACTIVE(events.user_id = :u) AS a, REACTIVE(events.event_id = :e) AS b, events.event_id FROM events", {"u": u, "e": u * 31})
+    fired = registry.fired({"events": c["events"].rows})
+    return fired.select("sub_id", F.array_join(F.col("conditions").cast("array<string>"), ",").alias("conditions"))
+
+
+_TWO_ALL = """
+WITH subs AS (SELECT range AS u, range + 1 AS sub_id FROM range(200)),
+hits AS (SELECT DISTINCT sub_id, 0 AS c FROM subs JOIN events ON user_id = u UNION SELECT DISTINCT sub_id, 1 FROM subs JOIN events ON event_id = u * 31)
+SELECT CAST(sub_id AS BIGINT) AS sub_id, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS conditions FROM hits GROUP BY sub_id
+"""
 _TWO = """
 WITH subs AS (SELECT range AS u, range + 1 AS sub_id FROM range(200)), ch AS (SELECT * FROM events WHERE event_id % 10 = 3),
 hits AS (SELECT DISTINCT sub_id, 0 AS c FROM subs JOIN ch ON ch.user_id = subs.u UNION SELECT DISTINCT sub_id, 1 FROM subs JOIN ch ON ch.event_id = subs.u * 31)
@@ -361,12 +407,19 @@ def filter_not_null(spark, sf_dir) -> DataFrame:
     return query(c, f"SELECT nation.n_nationkey, customer.c_custkey {_LJ} AND customer.c_custkey < 20").where("c_custkey IS NOT NULL")
 
 
+def _padded_value(condition: str):
+    return lambda spark, sf_dir: query(catalog(spark, sf_dir), f"SELECT nation.n_nationkey, customer.c_custkey {_LJ} AND {_PADDING}").where(condition)
+
+
+_PADDED_VALUE = f"SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND {_bare(_PADDING)} WHERE c_custkey IS"
 _PADDED = "SELECT n_nationkey, c_custkey FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_custkey < 20 WHERE c_custkey IS"
 
 #: name: (callable, oracle)
 MADE = {
     "filter_null": (filter_null, f"{_PADDED} NULL"),
     "filter_not_null": (filter_not_null, f"{_PADDED} NOT NULL"),
+    "filter_null_value": (_padded_value("c_custkey IS NULL"), f"{_PADDED_VALUE} NULL"),
+    "filter_not_null_value": (_padded_value("c_custkey IS NOT NULL"), f"{_PADDED_VALUE} NOT NULL"),
     "dml_insert": (_dml(_INSERT, "region"), "SELECT * FROM region UNION ALL VALUES (100, 'NORTH'), (101, NULL)"),
     "dml_update": (_dml(_UPDATE, "nation"), "SELECT n_nationkey, CASE WHEN n_regionkey = 1 OR n_nationkey = 0 THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation"),
     "dml_delete": (_dml(_DELETE, "nation"), "SELECT * FROM nation WHERE n_regionkey NOT IN (1, 2)"),
@@ -387,6 +440,8 @@ MADE = {
     "latest_image": (latest_image, f"SELECT user_id, event_id, event_type, value FROM (SELECT {_EVENT}, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"),
     **{n: (_reactive(n), _reactive_sql(n)) for n in SUBSCRIPTIONS},
     "reactive_two_conditions": (reactive_two_conditions, _TWO),
+    **{f"{n}_all": (_reactive_all(n), _reactive_all_sql(n)) for n in SUBSCRIPTIONS},
+    "reactive_two_conditions_all": (reactive_two_conditions_all, _TWO_ALL),
     "reactive_update_images": (reactive_update_images, "SELECT CAST(r + 1 AS BIGINT) AS sub_id FROM (VALUES (1), (4)) v(r) WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 1)"),
     **{f"sync_{n}": (_sync(s), _SYNC.format(s)) for n, s in (("confirm", "confirmed"), ("reject", "rejected"), ("wait", "wait"))},
     "invoice_gross": (invoice_gross, f"{_TOTALS} SELECT * FROM t"),

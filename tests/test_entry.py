@@ -40,3 +40,18 @@ def test_catalog_queries_match_oracle(spark):
         want = con.sql(text)
         assert sorted(want.columns) == columns, name
         assert plain(df.select(*columns).collect()) == plain(want.select(*[f'"{c}"' for c in columns]).fetchall()), name
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
+def test_whole_job_queries(spark):
+    """All changes reach the subscriptions, and more than the first customers are joined, with unmatched nations left."""
+    from brindle.plans import catalog_queries
+
+    found, sql = catalog_queries.queries(), catalog_queries.oracle_sql()
+    for name in [*catalog_queries.SUBSCRIPTIONS, "reactive_two_conditions"]:
+        assert "%" not in sql[f"{name}_all"]
+    some, every = (found[n](spark, SF).where("conditions LIKE '%1%'").count() for n in ("reactive_two_conditions", "reactive_two_conditions_all"))
+    assert every > some
+    joined = found["join_left_value"](spark, SF)
+    assert joined.where("c_custkey >= 20").count() > 0 and joined.where("c_custkey IS NULL").count() > 0
+    assert all("c_custkey <" not in sql[f"{n}_value"] for n in ("join_left", "join_left_where_right", "join_left_where_right_ref", "agg_null_skip", "agg_null_key", "sort_nulls", "filter_null", "filter_not_null"))
