@@ -111,7 +111,6 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    sharded = shard(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    light = materialize(docs.select("doc_id", crc, *[c.alias(n) for n, c in _keys(docs).items()]), "keys")
-    return assign(light, light).select("doc_id", F.col("__size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharded.select("doc_id", _keys(sharded)["__size"].alias("size"), crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

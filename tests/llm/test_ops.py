@@ -428,6 +428,17 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_sharding_query_shards_the_texts(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    whole = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda rows, *a: seen.append(rows.columns) or whole(rows, *a))
+    got = out(sharding.query(spark, str(tmp_path)))
+    assert seen and "text" in seen[0]
+    want = Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in out(whole(spark.read.parquet(f"{tmp_path}/documents.parquet"))))
+    assert Counter((r["doc_id"], r["text_crc32"], int(r["shard"]), r["slot"]) for r in got) == Counter((i, c, int(s), n) for (i, c, s, n) in want.elements())
+
+
 # -- 1
 def test_hpylm(docs, empty):
     data = rows_of()
