@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,21 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in a local session one of our own where that is unset."""
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder (in subfolders by an integer column) and read it back: cuts the lineage, survives lost
+    executors, is computed once. The folder is the result's stored_at.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(stored: DataFrame, inner: str = "") -> None:
+    """Delete what materialize wrote (or a subfolder of it), once nothing reads it any more."""
+    path = f"{stored.stored_at}/{inner}".rstrip("/")
+    sc = stored.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,105 +1,83 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: each training token that is a context has a restaurant of its own; they share CLASSES class restaurants (by the hash of
-the context's last two bytes), which are their parents and serve contexts that never occur in training; the classes share the root,
-whose base is uniform over the vocabulary and one unknown word. Neither restaurants nor dishes are bounded. The totals of the
-CONTEXTS most frequent contexts are arrays that every task has; those of all others are rows by the context's key (its hash and
-class), summed by ranges of keys and sent back to the buckets that hold dishes of the context.
-
-Training: each map task counts (word, context) pairs in its own dictionary and sends packed arrays by the word's hash, so that all
-dishes of a word meet in one bucket, whatever the word's frequency. Seating is sampled by Gibbs: each sweep seats all customers of
-every dish anew, first in the word contexts, then (customers: their tables) in the classes, then in the root. Only the numbers of
-tables count, and they are drawn whole from their conditional distribution given the weight of a new table (table counts as in Chen,
-Du and Buntine, 2011): by generalised Stirling numbers up to EXACT customers, beyond that by the same numbers' contour integral. Given the restaurants' totals the buckets are independent; totals are summed over all buckets after each sweep and
-held fixed within one (as in approximate distributed Gibbs sampling, Newman et al., 2009). Sweeps are seeded by bucket, so a
-lost executor's work is repeated to the same state, and no state is stored.
-
-Scoring: a token's probability is the mean over the sampled seatings after BURN_IN. For the CONTEXTS most frequent words it is looked
-up in a broadcast table of CONTEXTS by CONTEXTS; all other pairs of context and word go to the words' buckets, packed, and return as
-sums for each document. Totals of contexts of which a bucket has no dish are asked for by key. Texts are never shuffled.
+Restaurants: every token that is a context has a restaurant of its own; they share CLASSES class restaurants (by the hash of the
+context's last two bytes), which are their parents and serve contexts that never occur in training; the classes share the root,
+whose base is uniform over the vocabulary and one unknown word. Neither restaurants nor dishes are bounded.
+
+Layout: map tasks count (word, context) pairs and send them, compressed, by the word's hash, so that all dishes of a word meet in one
+bucket of about BUCKET_BYTES of text; a word that holds more than a share of a bucket is dealt once more by the context's class, and
+its few root numbers go through the driver. Contexts' totals are summed by ranges of their keys and sent back to the buckets that
+hold dishes of them. The seating after each sweep is stored in the shared folder, so no sweep is repeated for another.
+
+Sampling: each Gibbs sweep seats all customers of every dish anew, first in the word contexts, then (customers: their tables) in the
+classes, then in the root. Only the numbers of tables count, and they are drawn whole from their conditional distribution given the
+weight of a new table (table counts as in Chen, Du and Buntine, 2011): by generalised Stirling numbers up to EXACT customers, beyond
+that by the same numbers' contour integral. Totals are summed after each sweep and held fixed within one (as in approximate
+distributed Gibbs sampling, Newman et al., 2009). Each draw is seeded by word, context and sweep: no Spark setting changes a score.
+
+Scoring: a token's probability is the mean over the sampled seatings after BURN_IN. Pairs of word and context go to the words'
+buckets with the numbers of their documents, and return as sums for each document. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import binaries, held_out, materialize, shuffle_partitions, table
+from brindle.llm.common import discard, held_out, materialize, shuffle_partitions, table
 
-CONTEXTS, CLASSES = 1024, 64
-RESTAURANTS = CONTEXTS + CLASSES
+CLASSES = 64
 #: Discounts and strengths of root, classes and word contexts.
-DISCOUNT, STRENGTH = (0.6, 0.75, 0.8), (1.0, 1.0, 1.0)
+DISCOUNT, STRENGTH = (0.8, 0.8, 0.8), (1.0, 1.0, 1.0)
 SWEEPS, BURN_IN = 3, 1
 #: Customers of a dish up to which generalised Stirling numbers are tabulated.
 EXACT = 1024
-#: Tokens and documents that a map task packs together.
-FLUSH_TOKENS, FLUSH_DOCS = 3 << 19, 60_000
+#: Text that a bucket's words stand for, and the documents (one in so many) in which words too frequent for one bucket are looked for.
+BUCKET_BYTES, LOOKED_AT = 32 << 20, 64
+#: Tokens and documents that a map task packs together, and bytes of text that are split at a time.
+FLUSH_TOKENS, FLUSH_DOCS, PIECE = 1 << 21, 30_000, 8 << 20
 #: The end of a text as a token; words hold no line break.
 END = b"\n"
+_END = xxhash.xxh64_intdigest(END)
+_LOW = np.uint64(CLASSES - 1)
 
-
-class _Ids(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
-class _Classes(dict):
-    """Classes by the last two bytes, kept: at most 65,793."""
-
-    def __missing__(self, key: bytes) -> int:
-        n = self[key] = xxhash.xxh32_intdigest(key, 5) % CLASSES
-        return n
+TYPES, SIDE, STATE, ASK, META, REPORT, TOTAL = range(7)
+_ROW = "kind int, bucket int, seq long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, x double, y double"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]] for x in _ROW.split(", ")]
 
 
-_CLASS_OF = _Classes()
-
-
-def _class(word: bytes) -> int:
-    return _CLASS_OF[word[-2:]]
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
-class _Pack:
-    """Tokens of some whole documents: local ids in one stream, each document closed by END (id 0)."""
-
-    def __init__(self):
-        self.ids, self.stream, self.sizes, self.keys, self.tokens = _Ids(), [], [], [], 0
-        self.ids[END]  # noqa: B018
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
 
-    def add(self, key, text: bytes | None) -> bool:
-        words = (text or b"").lower().split()
-        words.append(END)
-        self.stream.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
-        self.sizes.append(len(words))
-        self.keys.append(key)
-        self.tokens += len(words)
-        return self.tokens >= FLUSH_TOKENS or len(self.keys) >= FLUSH_DOCS
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self.ids), np.uint64, len(self.ids))
+def _z(values: np.ndarray) -> bytes:
+    """Integers by their bytes' places, compressed: small ones take little."""
+    if not len(values):
+        return b""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    def words(self) -> np.ndarray:
-        return np.concatenate(self.stream).astype(np.int64)
 
-
-def _packs(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[_Pack]:
-    pack = _Pack()
-    for batch in batches:
-        keys = batch.column(0).to_pylist()
-        for key, t in zip(keys, binaries(batch.column(text)), strict=True):
-            if pack.add(key, t):
-                yield pack
-                pack = _Pack()
-    if pack.keys:
-        yield pack
+def _u(packed: bytes | None, kind: type) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, kind)
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,105 +86,160 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(key)])
 
 
-def _restaurant(pack: _Pack, hashes: np.ndarray, top: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each local word: its rank among the most frequent (or -1), and the restaurant it is the context of: the rank, or a key."""
-    sorted_, rank_of = top
-    rank = np.full(len(hashes), -1, np.int64)
-    if len(sorted_):
-        at = np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)
-        rank = np.where(sorted_[at] == hashes, rank_of[at], -1)
-    classes = np.fromiter((_CLASS_OF[w[-2:]] for w in pack.ids), np.uint64, len(pack.ids))
-    keys = (hashes | np.uint64(1 << 63)) & ~np.uint64(CLASSES - 1) | classes
-    return rank, np.where(rank >= 0, rank.astype(np.uint64), keys)
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The range of keys, in their order."""
-    return ((keys >> np.uint64(33) & np.uint64((1 << 30) - 1)) * np.uint64(parts) >> np.uint64(30)).astype(np.int64)
-
-
-def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The local words by bucket and hash: their order, each word's place in it, and the places' buckets."""
-    dealt = _bucket(hashes, buckets)
-    order = np.lexsort((hashes, dealt))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return order, place, dealt[order]
-
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Indexes in a sorted array, -1 where absent."""
+    if not len(sorted_):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return np.where(sorted_[at] == wanted, at, -1)
 
-def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
+def _bits(n: int) -> int:
+    return max(1, int(n).bit_length())
 
-def _counts(training: DataFrame) -> DataFrame:
-    """(h, n, cls): the training tokens' counts and their classes as contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in _packs(batches, 1):
-            n = np.bincount(pack.words(), minlength=len(pack.ids))
-            cls = np.fromiter(map(_class, pack.ids), np.int8, len(pack.ids))
-            yield pa.RecordBatch.from_arrays([pa.array(pack.hashes().view(np.int64)), pa.array(n.astype(np.int64)), pa.array(cls)], names=["h", "n", "cls"])
+class _Classes(dict):
+    """Classes by the last two bytes, kept: at most 65,793."""
 
-    return training.mapInArrow(run, "h long, n long, cls byte").groupBy("h").agg(F.sum("n").alias("n"), F.min("cls").alias("cls"))
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = xxhash.xxh32_intdigest(key, 5) % CLASSES
+        return n
 
 
-_TYPES = "bucket int, h binary, n binary, ctx binary, cnt binary"
-_SUMS = "r long, c double, t double, part int, bucket int, keys binary, cs binary, ts binary"
-_SIDES = "bucket int, part int, k int, keys binary, cs binary, ts binary"
+_CLASS_OF = _Classes()
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    names = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[t]) for k, (_, t) in enumerate(names)], names=[n for n, _ in names])
+def _class(word: bytes) -> int:
+    return _CLASS_OF[word[-2:]]
 
 
-def _types(training: DataFrame, top, buckets: int) -> DataFrame:
-    """One row a bucket: its words' hashes (sorted), their numbers of contexts, the contexts and counts, and the contexts' keys (sorted).
+@dataclass
+class _Pack:
+    """Tokens of some whole documents: local ids in one stream, each document closed by END (id 0)."""
 
-    A context is its rank among the most frequent, or RESTAURANTS and the place of its key.
+    ids: np.ndarray
+    sizes: np.ndarray
+    doc_ids: pa.Array
+    learn: np.ndarray
+    h: np.ndarray
+    cls: np.ndarray
+
+    def keys(self) -> np.ndarray:
+        """The local words as contexts: their hash, with the class in the lowest bits."""
+        return (self.h | np.uint64(1 << 63)) & ~_LOW | self.cls.astype(np.uint64)
+
+    def learned(self) -> np.ndarray:
+        return np.repeat(self.learn, self.sizes)
+
+
+def _packed(held: list[tuple]) -> _Pack:
+    words = pa.chunked_array([w for *_, w in held], pa.binary()).dictionary_encode().unify_dictionaries()
+    known = words.chunk(0).dictionary.to_pylist() if words.num_chunks else []
+    n = np.concatenate([n for _, _, n, _ in held])
+    ids = np.zeros(int(n.sum()) + len(n), np.int32)
+    place = np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)
+    ids[place] = np.concatenate([c.indices.to_numpy() for c in words.chunks] or [np.zeros(0, np.int32)]) + 1
+    h = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    cls = np.fromiter((_CLASS_OF[w[-2:]] for w in known), np.int64, len(known))
+    learn = np.concatenate([x for _, x, _, _ in held])
+    return _Pack(ids, n + 1, pa.concat_arrays([i for i, *_ in held]), learn, np.r_[np.uint64(_END), h], np.r_[_class(END), cls])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Pack]:
+    """From batches (doc_id, learn, text)."""
+    held, tokens, docs = [], 0, 0
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        piece = np.maximum((np.cumsum(size) - size) // PIECE, np.arange(len(size)) // FLUSH_DOCS)
+        for s, m in zip(*_runs(piece), strict=True):
+            text = pc.ascii_trim_whitespace(pc.ascii_lower(batch.column(2).slice(s, m)))
+            words = pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), pa.scalar(None, text.type), text))
+            n = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            learn = pc.fill_null(batch.column(1).slice(s, m), False).to_numpy(zero_copy_only=False).astype(bool)
+            held.append((batch.column(0).slice(s, m), learn, n, words.flatten().cast(pa.binary())))
+            tokens, docs = tokens + int(n.sum()) + int(m), docs + int(m)
+            if tokens >= FLUSH_TOKENS or docs >= FLUSH_DOCS:
+                yield _packed(held)
+                held, tokens, docs = [], 0, 0
+    if held:
+        yield _packed(held)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
+    z = a ^ (np.asarray(b).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(salt * 0xD1B54A32D192ED03 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def _uniform(word: np.ndarray, other: np.ndarray | int, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each pair, the same whatever the layout."""
+    return (_mixed(word, other, salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+@dataclass
+class _Layout:
+    """Buckets, and the words (sorted hashes, at most a few for each bucket) that are dealt by the context's class too."""
+
+    buckets: int = 1
+    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def deal(self, pack: _Pack, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token the place of its word by bucket and hash; the places' hashes and buckets."""
+        own = np.flatnonzero(_find(self.hot, pack.h) >= 0)
+        h = np.r_[pack.h, np.repeat(pack.h[own], CLASSES)]
+        bucket = np.r_[pack.h >> np.uint64(33), _mixed(np.repeat(pack.h[own], CLASSES), np.tile(np.arange(CLASSES), len(own)), 1) >> np.uint64(33)] % np.uint64(self.buckets)
+        order = np.lexsort((h, bucket))
+        h, bucket = h[order], bucket[order].astype(np.int64)
+        new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        if len(own):
+            row = np.full(len(pack.h), -1)
+            row[own] = np.arange(len(own))
+            w = np.where(row[w] >= 0, len(pack.h) + row[w] * CLASSES + pack.cls[u], w)
+        return place[w], h[new], bucket[new]
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        """The range of contexts' keys, in their order."""
+        return ((keys >> np.uint64(33) & np.uint64((1 << 30) - 1)) * np.uint64(self.buckets) >> np.uint64(30)).astype(np.int64)
+
+
+def _pairs(pack: _Pack, layout: _Layout, seq: int, docs: bool) -> list[dict]:
+    """Rows for the buckets: words (a), their numbers of contexts (b), the contexts' keys (c), each pair's context (d) and
+    its count in training (e); with docs instead its number of documents (e), the documents (f) and counts in them (g).
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack in _packs(batches, 1):
-            h, w = pack.hashes(), pack.words()
-            _, room = _restaurant(pack, h, top.value)
-            order, place, bucket_at = _by_bucket(h, buckets)
-            code = np.sort(place[w] * len(h) + np.r_[0, w[:-1]])
-            start, n = _runs(code)
-            word, ctx = code[start] // len(h), room[code[start] % len(h)]
-            dealt, h = bucket_at[word], h[order]
-            rows = []
-            for s, m in zip(*_runs(dealt), strict=True):
-                first, k = _runs(word[s : s + m])
-                rows.append((int(dealt[s]), h[word[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].astype(np.int64).astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 5))], names=["bucket", "h", "n", "ctx", "cnt"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(bucket: int, parts: list) -> pa.RecordBatch:
-            h, ctx, cnt = (np.concatenate([p[c] for p in parts]) for c in range(3))
-            order = np.lexsort((ctx, h))
-            h, ctx, cnt = h[order], ctx[order], cnt[order]
-            start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])])
-            h, ctx, cnt = h[start], ctx[start], np.add.reduceat(cnt, start)
-            first, k = _runs(h)
-            keys = np.unique(ctx[ctx >= CONTEXTS])
-            ctx = np.where(ctx < CONTEXTS, ctx.astype(np.int64), RESTAURANTS + np.searchsorted(keys, ctx)).astype(np.int32)
-            return _batch([(bucket, h[first].tobytes(), k.astype(np.int32).tobytes(), ctx.tobytes(), cnt.astype(np.int64).tobytes(), keys.tobytes())], _TYPES + ", keys binary")
-
-        now, parts = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["bucket"] != now and parts:
-                    yield done(now, parts)
-                    parts = []
-                now = r["bucket"]
-                parts.append((np.repeat(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)), np.frombuffer(r["ctx"], np.uint64), np.frombuffer(r["cnt"], np.uint32).astype(np.int64)))
-        if parts:
-            yield done(now, parts)
-
-    sent = training.mapInArrow(count, _TYPES)
-    return sent.repartition(shuffle_partitions(training.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _TYPES + ", keys binary")
+    w = pack.ids.astype(np.int64)
+    u = np.r_[0, w[:-1]]
+    place, h, bucket = layout.deal(pack, w, u)
+    keys, low = pack.keys(), _bits(len(pack.h))
+    code = place << low | u
+    if docs:
+        wide = _bits(len(pack.sizes))
+        code = code << wide | np.repeat(np.arange(len(pack.sizes)), pack.sizes)
+        code.sort()
+        start, times = _runs(code)
+        doc, code = (code[start] & (1 << wide) - 1).astype(np.uint16), code[start] >> wide
+        start, n = _runs(code)
+        ends = np.r_[start, len(doc)]
+    else:
+        code = code << 1 | pack.learned()
+        code.sort()
+        learned = code & 1
+        code >>= 1
+        start, _ = _runs(code)
+        n = np.add.reduceat(learned, start) if len(start) else learned
+    code = code[start]
+    word, ctx = code >> low, code & (1 << low) - 1
+    out = []
+    for s, m in zip(*_runs(bucket[word]), strict=True):
+        first, k = _runs(word[s : s + m])
+        used, idx = np.unique(ctx[s : s + m], return_inverse=True)
+        row = {"kind": ASK if docs else TYPES, "bucket": int(bucket[word[s]]), "seq": seq, "a": h[word[s : s + m][first]].tobytes(), "b": _z(k), "c": keys[used].tobytes(), "d": _z(idx), "e": _z(n[s : s + m])}
+        if docs:
+            row |= {"f": _z(doc[ends[s] : ends[s + m]]), "g": _z(times[ends[s] : ends[s + m]])}
+        out.append(row)
+    return out
 
 
 @cache
@@ -255,13 +288,14 @@ def _law(customers: int, new: float, discount: float) -> tuple[int, np.ndarray]:
     return int(t[0]), np.maximum(upto, 0.0) * np.exp(weight - weight.max())
 
 
-def _draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of the dishes, from their distribution given the weights of a new table."""
+def _draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, uniform: np.ndarray) -> np.ndarray:
+    """Numbers of tables of the dishes, from their distribution given the weights of a new table, by numbers in [0, 1)."""
+    customers = customers.astype(np.int64)
     t = np.minimum(customers, 1)
     for k in np.flatnonzero(customers > EXACT):
         least, weight = _law(int(customers[k]), float(new[k]), discount)
         upto = np.cumsum(weight)
-        t[k] = least + np.searchsorted(upto, rng.random() * upto[-1], "right")
+        t[k] = least + np.searchsorted(upto, uniform[k] * upto[-1], "right")
     some = np.flatnonzero((customers > 1) & (customers <= EXACT))
     some = some[np.argsort(customers[some], kind="stable")]
     for s, m in zip(*_runs(customers[some]), strict=True):
@@ -271,474 +305,368 @@ def _draw_tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: n
             own = some[k : min(k + step, s + m)]
             weight = ways + np.log(new[own])[:, None] * each
             upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-            t[own] = 1 + (upto[:, :-1] <= rng.random(len(own))[:, None] * upto[:, -1:]).sum(axis=1)
+            t[own] = 1 + (upto[:, :-1] <= uniform[own][:, None] * upto[:, -1:]).sum(axis=1)
     return t
 
 
-class Seating:
-    """Numbers of tables of many dishes. Sizes are not sampled, as nothing depends on them; owner and size are one of the seatings."""
+@dataclass
+class _Totals:
+    """Customers and tables after a sweep: of the classes, the root and, in it, the words dealt by class; these words' counts."""
 
-    def __init__(self, customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator):
-        """customers of each dish, and the weight of a new table."""
-        self.d, self.rng, self.n = discount, rng, len(customers)
-        self.fit(customers, new)
+    class_c: np.ndarray
+    class_t: np.ndarray
+    root_c: int
+    root_t: int
+    hot_c: np.ndarray
+    hot_t: np.ndarray
+    hot_n: np.ndarray
 
-    def tables(self) -> np.ndarray:
-        return self._t
 
-    def customers(self) -> np.ndarray:
-        return self._c
+class Bucket:
+    """One bucket's words and their dishes. rest_c and rest_t: customers and tables of the contexts."""
+
+    def __init__(self, layout: _Layout, h: bytes = b"", n: bytes = b"", keys: bytes = b"", ctx: bytes = b"", cnt: bytes = b""):
+        self.layout, self.h, k = layout, np.frombuffer(h, np.uint64), _u(n, np.int64)
+        self.keys, self.leaf_ctx, self.leaf_n = np.frombuffer(keys, np.uint64), _u(ctx, np.int64), _u(cnt, np.int64)
+        self.leaf_word = np.repeat(np.arange(len(k)), k)
+        self.c = np.add.reduceat(self.leaf_n, np.cumsum(k) - k) if len(k) else np.zeros(0, np.int64)
+        code = self.leaf_word * CLASSES + self.classes()[self.leaf_ctx]
+        self.pairs, self.leaf_pair = np.unique(code, return_inverse=True)
+        self.pair_word, self.pair_class = self.pairs // CLASSES, self.pairs % CLASSES
+        self.hot = _find(layout.hot, self.h)
+        self.rest_c, self.rest_t = np.zeros(len(self.keys)), {}
+
+    @classmethod
+    def of(cls, layout: _Layout, row: dict | None) -> Bucket:
+        return cls(layout, row["a"], row["b"], row["c"], row["d"], row["e"]) if row else cls(layout)
+
+    def classes(self) -> np.ndarray:
+        return (self.keys & _LOW).astype(np.int64)
+
+    def take(self, sides: list[dict]) -> None:
+        """Totals of the contexts by sweep and range of keys."""
+        sides = sorted(sides, key=lambda r: r["seq"])
+        if c := [_u(r["b"], np.int64) for r in sides if r["b"]]:
+            self.rest_c = np.concatenate(c).astype(np.float64)
+        for k in {r["seq"] >> 32 for r in sides}:
+            self.rest_t[k] = np.concatenate([_u(r["a"], np.int64) for r in sides if r["seq"] >> 32 == k]).astype(np.float64)
+
+    def start(self) -> tuple[np.ndarray, ...]:
+        """One table for each dish: tables of leaves, class dishes and words."""
+        return np.ones(len(self.leaf_n), np.int64), np.ones(len(self.pairs), np.int64), np.ones(len(self.h), np.int64)
+
+    def customers(self, state: tuple[np.ndarray, ...], totals: _Totals | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of class dishes and words; tables of words. Words dealt by class have theirs from the totals."""
+        leaf_t, pair_t, root_t = state
+        pair_n, root_n = np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64), np.bincount(self.pair_word, pair_t, len(self.h)).astype(np.int64)
+        if totals is not None and len(self.layout.hot):
+            own = self.hot >= 0
+            root_n, root_t = np.where(own, totals.hot_c[self.hot], root_n), np.where(own, totals.hot_t[self.hot], root_t)
+        return pair_n, root_n, root_t
+
+    def sweep(self, k: int, state: tuple[np.ndarray, ...], totals: _Totals, vocabulary: int) -> tuple[np.ndarray, ...]:
+        """All customers seated anew, given the totals after sweep k - 1."""
+        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
+        pair_n, root_n, root_t = self.customers(state, totals)
+        fresh0 = (s0 + d0 * totals.root_t) / (vocabulary + 1)
+        p0 = (root_n - d0 * root_t + fresh0) / (s0 + totals.root_c)
+        fresh1 = (s1 + d1 * totals.class_t[self.pair_class]) * p0[self.pair_word]
+        p1 = (pair_n - d1 * state[1] + fresh1) / (s1 + totals.class_c[self.pair_class])
+        leaf_t, many = np.ones(len(self.leaf_n), np.int64), np.flatnonzero(self.leaf_n > 1)
+        fresh2 = (s2 + d2 * self.rest_t[k - 1][self.leaf_ctx[many]]) * p1[self.leaf_pair[many]]
+        leaf_t[many] = _draw_tables(self.leaf_n[many], fresh2, d2, _uniform(self.h[self.leaf_word[many]], self.keys[self.leaf_ctx[many]], 3 * k))
+        pair_n = np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64)
+        pair_t = _draw_tables(pair_n, fresh1, d1, _uniform(self.h[self.pair_word], self.pair_class + 1, 3 * k + 1))
+        root_n = np.bincount(self.pair_word, pair_t, len(self.h)).astype(np.int64)
+        return leaf_t, pair_t, _draw_tables(root_n, np.full(len(self.h), fresh0), d0, _uniform(self.h, 0, 3 * k + 2))
+
+    def totals(self, state: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Customers and tables (two rows) of the classes and the root without the words dealt by class; tokens and words
+        without them; then for each of them customers in the root and tokens.
+        """
+        pair_n, root_n, root_t = self.customers(state, None)
+        own, hot = self.hot >= 0, self.hot[self.hot >= 0]
+        n = len(self.layout.hot)
+        first = np.r_[np.bincount(self.pair_class, pair_n, CLASSES), root_n[~own].sum(), self.c[~own].sum(), np.bincount(hot, root_n[own], n)]
+        second = np.r_[np.bincount(self.pair_class, state[1], CLASSES), root_t[~own].sum(), len(self.h) - own.sum(), np.bincount(hot, self.c[own], n)]
+        return np.array([first, second], np.float64)
+
+    def report(self, bucket: int, leaf_t: np.ndarray, first: bool) -> list[dict]:
+        """The tables (and at first the customers) that the contexts have here, to the ranges of their keys."""
+        t = np.bincount(self.leaf_ctx, leaf_t, len(self.keys)).astype(np.int64)
+        c = np.bincount(self.leaf_ctx, self.leaf_n, len(self.keys)).astype(np.int64)
+        part = self.layout.part(self.keys)
+        return [{"kind": REPORT, "bucket": int(part[s]), "seq": bucket, "a": self.keys[s : s + m].tobytes(), "b": _z(t[s : s + m]), "c": _z(c[s : s + m]) if first else None} for s, m in zip(*_runs(part), strict=True)]
+
+
+class _Predictive:
+    """Mean predictive probabilities of a bucket's sampled seatings {sweep: state}."""
+
+    def __init__(self, b: Bucket, states: dict[int, tuple], totals: dict[int, _Totals], vocabulary: int):
+        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
+        self.b, self.code, self.hot = b, b.leaf_word * len(b.keys) + b.leaf_ctx, b.layout.hot
+        self.any = next(iter(totals.values()))
+        self.samples = []
+        for k, t in totals.items():
+            state = states.get(k, b.start())
+            pair_n, root_n, root_t = b.customers(state, t)
+            rest_t = b.rest_t.get(k, np.zeros(len(b.keys)))
+            self.samples.append((
+                np.r_[(root_n - d0 * root_t) / (s0 + t.root_c), 0.0],  # the last: not in the bucket
+                (t.hot_c - d0 * t.hot_t) / (s0 + t.root_c),
+                (s0 + d0 * t.root_t) / (s0 + t.root_c) / (vocabulary + 1),
+                np.r_[(pair_n - d1 * state[1]) / (s1 + t.class_c[b.pair_class]), 0.0],
+                (s1 + d1 * t.class_t) / (s1 + t.class_c),
+                np.r_[(b.leaf_n - d2 * state[0]) / (s2 + b.rest_c[b.leaf_ctx]), 0.0],
+                (s2 + d2 * rest_t) / (s2 + b.rest_c),
+            ))
+
+    def __call__(self, h: np.ndarray, keys: np.ndarray, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of indexes into word hashes and contexts' keys: the words' training counts and the probabilities."""
+        at, hot, room = _find(self.b.h, h), _find(self.hot, h), _find(self.b.keys, keys)
+        cls = (keys & _LOW).astype(np.int64)[key]
+        known, own = at[word] >= 0, room[key]
+        at1 = np.where(known, _find(self.b.pairs, at[word] * CLASSES + cls), -1)
+        at2 = np.where(known & (own >= 0), _find(self.code, at[word] * len(self.b.keys) + own), -1)
+        p = np.zeros(len(word))
+        for a0, hot0, b0, a1, b1, a2, b2 in self.samples:
+            root = np.where(hot >= 0, np.r_[hot0, 0.0][hot], a0[at]) + b0
+            p += a2[at2] + np.r_[b2, 1.0][own] * (a1[at1] + b1[cls] * root[word])
+        count = np.where(hot >= 0, np.r_[self.any.hot_n, 0][hot], np.r_[self.b.c, 0][at])
+        return count[word], p / len(self.samples)
+
+
+def _merged(layout: _Layout, rows: list[dict]) -> dict:
+    """One row of a bucket's dishes from the map tasks' pairs. Contexts without a learned pair stay, for scoring."""
+    h, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
+    keys, key = np.unique(np.concatenate([np.frombuffer(r["c"], np.uint64) for r in rows]), return_inverse=True)
+    codes, counts, i, j = [], [], 0, 0
+    for r in rows:
+        k = _u(r["b"], np.int64)
+        n = _u(r["e"], np.int64)
+        code = np.repeat(at[i : i + len(k)], k) * len(keys) + key[j : j + len(r["c"]) // 8][_u(r["d"], np.int64)]
+        i, j = i + len(k), j + len(r["c"]) // 8
+        codes.append(code[n > 0])
+        counts.append(n[n > 0])
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    del codes, counts
+    wide = _bits(n.max(initial=1))
+    if _bits(len(h) * len(keys)) + wide < 63:
+        code = code << wide | n
+        code.sort()
+        n = code & (1 << wide) - 1
+        code >>= wide
+    else:
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+    start, _ = _runs(code)
+    n, code = (np.add.reduceat(n, start), code[start]) if len(start) else (n, code)
+    word = code // len(keys)
+    first, k = _runs(word)
+    return {"kind": TYPES, "bucket": rows[0]["bucket"], "seq": 0, "a": h[word[first]].tobytes(), "b": _z(k), "c": keys.tobytes(), "d": _z(code % len(keys)), "e": _z(n)}
 
-    @property
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(self.n), self._t)
 
-    @property
-    def size(self) -> np.ndarray:
-        out, some = np.ones(self._t.sum(), np.int64), np.flatnonzero(self._t)
-        out[(np.cumsum(self._t) - self._t)[some]] += (self._c - self._t)[some]
-        return out
+def _by_bucket(df: DataFrame, buckets: int, f: Callable[[int, list[dict]], Iterator[dict]], by: str = "bucket") -> DataFrame:
+    """f of each bucket's rows, by kind and seq; a bucket is a task."""
 
-    def fit(self, customers: np.ndarray, new: np.ndarray) -> None:
-        """Each dish has as many customers as its children have tables; all are seated anew."""
-        self._c = customers.astype(np.int64)
-        self._t = _draw_tables(self._c, new, self.d, self.rng)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(_rows(batches))
+        for row in f(rows[0][by], rows) if rows else ():
+            yield _batch([row])
 
-    def sweep(self, new: np.ndarray, times: int = 1) -> None:
-        """Every customer of every dish is seated anew. A draw doesn't depend on the one before."""
-        for _ in range(times):
-            self.fit(self._c, new)
+    return df.repartitionById(buckets, F.col(by)).sortWithinPartitions("kind", "seq").mapInArrow(run, _ROW)
 
 
-class Bucket:
-    """One bucket's words and the sampled seatings of all their dishes."""
-
-    def __init__(self, bucket: int, h: bytes, n: bytes, ctx: bytes, cnt: bytes, keys: bytes = b"", sides: tuple = ()):
-        """sides: (sweep, customers, tables) of ranges of the keys, by sweep and range; customers are empty after the first."""
-        self.h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)
-        self.leaf_word, self.leaf_ctx, self.leaf_n = np.repeat(np.arange(len(n)), n), np.frombuffer(ctx, np.int32).astype(np.int64), np.frombuffer(cnt, np.int64)
-        self.bucket, self.keys = bucket, np.frombuffer(keys, np.uint64)
-        self.rooms = RESTAURANTS + len(self.keys)
-        self.c = np.add.reduceat(self.leaf_n, np.cumsum(n) - n) if len(n) else np.zeros(0, np.int64)
-        self.rest_c = np.frombuffer(b"".join(c for k, c, _ in sides if k == 0), np.uint32).astype(np.float64)
-        self.rest_t = [np.frombuffer(b"".join(t for k, _, t in sides if k == j), np.uint32).astype(np.float64) for j in range(SWEEPS + 1)]
-        self.extra_keys = np.zeros(0, np.uint64)
-
-    def know(self, extras: list[tuple]) -> None:
-        """(keys, customers, tables of all sweeps) of contexts without a dish here; they come after the others."""
-        if extras:
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _, _ in extras])
-            order = np.argsort(keys)
-            tables = np.concatenate([np.frombuffer(t, np.uint32).reshape(SWEEPS + 1, -1) for _, _, t in extras], axis=1)
-            self.extra_keys = keys[order]
-            self.rest_c = np.r_[self.rest_c, np.concatenate([np.frombuffer(c, np.uint32) for _, c, _ in extras])[order]]
-            self.rest_t = [np.r_[own, t[order]] for own, t in zip(self.rest_t, tables, strict=True)]
-
-    def room(self, ctx: np.ndarray) -> np.ndarray:
-        """Rooms of contexts given by rank or key: those without customers have only their class."""
-        own, extra = _find(self.keys, ctx), _find(self.extra_keys, ctx)
-        known = np.where(own >= 0, RESTAURANTS + own, np.where(extra >= 0, self.rooms + extra, CONTEXTS + (ctx & np.uint64(CLASSES - 1)).astype(np.int64)))
-        return np.where(ctx < CONTEXTS, ctx.astype(np.int64), known)
-
-    def classes(self, class_of: np.ndarray) -> np.ndarray:
-        """The class of each room."""
-        return np.r_[class_of, np.arange(CLASSES), (np.r_[self.keys, self.extra_keys] & np.uint64(CLASSES - 1)).astype(np.int64)]
-
-    def link(self, class_of: np.ndarray) -> None:
-        """class_of: the class (from 0) of each of the most frequent contexts."""
-        code = self.leaf_word * CLASSES + self.classes(class_of)[self.leaf_ctx]
-        self.pairs = np.unique(code)
-        self.leaf_pair = np.searchsorted(self.pairs, code)
-        self.pair_word, self.pair_class = self.pairs // CLASSES, self.pairs % CLASSES
+def _total_rows(total: np.ndarray) -> list[dict]:
+    return [{"kind": TOTAL, "bucket": -1, "seq": r, "x": float(x), "y": float(y)} for r, (x, y) in enumerate(total.T)]
 
-    def start(self) -> np.ndarray:
-        """Totals with one table for each dish."""
-        pair_n = np.bincount(self.leaf_pair, minlength=len(self.pairs))
-        return self._totals(np.ones(len(self.leaf_n)), pair_n, np.ones(len(self.pairs)), np.bincount(self.pair_word, minlength=len(self.h)), np.ones(len(self.h)))
-
-    def _totals(self, leaf_t, pair_n, pair_t, root_n, root_t) -> np.ndarray:
-        """Customers and tables of the most frequent contexts, the classes and the root."""
-        out = np.zeros((2, RESTAURANTS + 1))
-        out[0, :CONTEXTS], out[1, :CONTEXTS] = (np.bincount(self.leaf_ctx, x, self.rooms)[:CONTEXTS] for x in (self.leaf_n, leaf_t))
-        out[0, CONTEXTS:-1], out[1, CONTEXTS:-1] = np.bincount(self.pair_class, pair_n, CLASSES), np.bincount(self.pair_class, pair_t, CLASSES)
-        out[0, -1], out[1, -1] = root_n.sum(), root_t.sum()
-        return out
 
-    def report(self, leaf_t: np.ndarray, parts: int, first: bool) -> list[tuple]:
-        """Rows of _SUMS: the customers (only at first) and tables that the keys have here."""
-        c, t = (np.bincount(self.leaf_ctx, x, self.rooms)[RESTAURANTS:].astype(np.uint32) for x in (self.leaf_n, leaf_t))
-        at = _part(self.keys, parts)
-        return [(None, None, None, int(at[s]), self.bucket, self.keys[s : s + m].tobytes(), c[s : s + m].tobytes() if first else b"", t[s : s + m].tobytes()) for s, m in zip(*_runs(at), strict=True)]
+def _state_row(bucket: int, k: int, state: tuple[np.ndarray, ...]) -> dict:
+    return {"kind": STATE, "bucket": bucket, "seq": k, "a": _z(state[0]), "b": _z(state[1]), "c": _z(state[2])}
 
-    def run(self, totals: list[np.ndarray], vocabulary: int) -> Iterator[tuple]:
-        """For each sweep: (totals, leaf tables, pair customers, pair tables, root customers, root tables)."""
-        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        pair_n, root_n = np.bincount(self.leaf_pair, minlength=len(self.pairs)), np.bincount(self.pair_word, minlength=len(self.h))
-        pair_t, root_t = np.ones(len(self.pairs), np.int64), np.ones(len(self.h), np.int64)
-        many = np.flatnonzero(self.leaf_n > 1)
-        leaf_t = np.ones(len(self.leaf_n), np.int64)
-        for k, all_ in enumerate(totals):
-            rng = np.random.default_rng((self.bucket, k))
-            customers, tables = all_
-            p0 = (root_n - d0 * root_t + (s0 + d0 * tables[-1]) / (vocabulary + 1)) / (s0 + customers[-1])
-            room = CONTEXTS + self.pair_class
-            p1 = (pair_n - d1 * pair_t + (s1 + d1 * tables[room]) * p0[self.pair_word]) / (s1 + customers[room])
-            new2 = ((s2 + d2 * np.r_[tables[:RESTAURANTS], self.rest_t[k]][self.leaf_ctx]) * p1[self.leaf_pair])[many]
-            leaf_t[many] = Seating(self.leaf_n[many], new2, d2, rng).tables()
-            pair_n = np.bincount(self.leaf_pair, leaf_t, len(self.pairs)).astype(np.int64)
-            new1 = (s1 + d1 * tables[room]) * p0[self.pair_word]
-            pair_t = Seating(pair_n, new1, d1, rng).tables()
-            root_n = np.bincount(self.pair_word, pair_t, len(self.h)).astype(np.int64)
-            new0 = np.full(len(self.h), (s0 + d0 * tables[-1]) / (vocabulary + 1))
-            root_t = Seating(root_n, new0, d0, rng).tables()
-            yield self._totals(leaf_t, pair_n, pair_t, root_n, root_t), leaf_t.copy(), pair_n, pair_t, root_n, root_t
-
-    def probabilities(self, totals: list[np.ndarray], vocabulary: int, class_of: np.ndarray, ask) -> list[np.ndarray]:
-        """Mean predictive probabilities; ask: (index of the word or -1 if unknown, restaurant) arrays, a pair for each result."""
-        (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        code, class_at = self.leaf_word * self.rooms + self.leaf_ctx, self.classes(class_of)
-        found = []
-        for word, room in ask:
-            cls = class_at[room]
-            at1, at2 = _find(self.pairs, np.where(word >= 0, word * CLASSES + cls, -1)), _find(code, np.where((word >= 0) & (room < self.rooms), word * self.rooms + room, -1))
-            found.append((word, room, cls, at1, at2, np.zeros(len(word))))
-        samples = 0
-        for k, (_, leaf_t, pair_n, pair_t, root_n, root_t) in enumerate(self.run(totals[:-1], vocabulary)):
-            if k < BURN_IN and len(totals) > BURN_IN + 1:
-                continue
-            customers, tables = totals[k + 1]
-            a0 = np.r_[(root_n - d0 * root_t) / (s0 + customers[-1]), 0.0]  # the last: not in the bucket
-            a1 = np.r_[(pair_n - d1 * pair_t) / (s1 + customers[CONTEXTS + self.pair_class]), 0.0]
-            c2, t2 = np.r_[customers[:RESTAURANTS], self.rest_c], np.r_[tables[:RESTAURANTS], self.rest_t[k + 1]]
-            a2 = np.r_[(self.leaf_n - d2 * leaf_t) / (s2 + c2[self.leaf_ctx]), 0.0]
-            b0 = (s0 + d0 * tables[-1]) / (s0 + customers[-1]) / (vocabulary + 1)
-            b1, b2 = (s1 + d1 * tables[CONTEXTS:-1]) / (s1 + customers[CONTEXTS:-1]), (s2 + d2 * t2) / (s2 + c2)
-            for word, room, cls, at1, at2, total in found:
-                p = a1[at1] + b1[cls] * (a0[word] + b0)
-                total += np.where((room >= CONTEXTS) & (room < RESTAURANTS), p, a2[at2] + b2[room] * p)
-            samples += 1
-        return [f[-1] / samples for f in found]
 
+def _state(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(_u(row[c], np.int64) for c in "abc")
 
-def _find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Indexes in a sorted array, -1 where absent."""
-    if not len(sorted_):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
-    return np.where(sorted_[at] == wanted, at, -1)
 
+def _added(part: int, rows: list[dict], k: int) -> Iterator[dict]:
+    """The buckets' reports on a range of keys, summed and sent back to them."""
+    _, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
+    n = int(at.max(initial=-1)) + 1
+    t = np.bincount(at, np.concatenate([_u(r["b"], np.int64) for r in rows]), n).astype(np.int64)
+    c = np.bincount(at, np.concatenate([_u(r["c"], np.int64) for r in rows]), n).astype(np.int64) if k == 0 else None
+    s = 0
+    for r in rows:
+        own = at[s : s + len(r["a"]) // 8]
+        s += len(own)
+        yield {"kind": SIDE, "bucket": r["seq"], "seq": k << 32 | part, "a": _z(t[own]), "b": _z(c[own]) if k == 0 else None}
 
-def _load(row: dict, class_of: np.ndarray, sides: tuple = ()) -> Bucket:
-    b = Bucket(row["bucket"], row["h"], row["n"], row["ctx"], row["cnt"], row["keys"], sides)
-    b.link(class_of)
-    return b
 
+def _frequent(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Hashes of words that seem to hold over half a bucket, from one document in LOOKED_AT. The layout alone depends on them."""
+    if buckets == 1:
+        return np.zeros(0, np.uint64)
 
-def _side(r: dict) -> tuple:
-    return r["flush"] >> 32, r["h"], r["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches):
+            n = np.bincount(pack.ids, minlength=len(pack.h))
+            own = np.flatnonzero(n * 8 * buckets >= n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), pack.h[own]].view(np.int64)), pa.array(np.r_[n.sum(), n[own]].astype(np.int64))], names=["h", "n"])
 
-
-def _buckets(batches: Iterator[pa.RecordBatch], class_of: np.ndarray) -> Iterator[Bucket]:
-    """From rows of a model by bucket, kind and flush."""
-    row, sides = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] == 0:
-                if row:
-                    yield _load(row, class_of, tuple(sides))
-                row, sides = r | {"keys": r["doc"]}, []
-            else:
-                sides.append(_side(r))
-    if row:
-        yield _load(row, class_of, tuple(sides))
+    looked = rows.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED_AT)) == 0).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("h") == 0, F.col("n"))).over(Window.partitionBy())
+    found = looked.orderBy(F.desc("n")).limit(2 * buckets + 1).withColumn("all", total).where((F.col("h") != 0) & (F.col("n") * 2 * buckets >= F.col("all"))).collect()  # shares over 1 in 2 * buckets
+    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
 class Trained:
-    """top: (hashes, ranks) of the most frequent tokens; class_of: their classes; totals: of each sweep; types: the buckets; sides: the
-    other contexts' totals of each sweep, for each bucket that has dishes of them and (bucket -1) for all.
-    """
-
-    def __init__(self, training: DataFrame):
-        """training (key, text): all rows are learned from."""
-        spark = training.sparkSession
-        counts = materialize(_counts(training), "counts")
-        self.tokens, self.vocabulary = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-        best = counts.orderBy(F.desc("n"), "h").limit(CONTEXTS).collect()
-        hashes = np.array([r[0] for r in best], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.top, self.top_n = (hashes[order], order.astype(np.int64)), np.array([r[1] for r in best], np.int64)
-        self.buckets = 2 * shuffle_partitions(spark)
-        shared = spark.sparkContext.broadcast(self.top)
-        self.class_of = np.zeros(CONTEXTS, np.int64)
-        self.class_of[: len(best)] = [r[2] for r in best]
-        self.types = materialize(_types(training, shared, self.buckets), "types")
-        self.totals, self.sides = [], []
-        for _ in range(SWEEPS + 1):
-            self._sum()
+    """The learned model of rows (doc_id, learn, text): stored dishes (and the contexts of all rows), seatings and totals by sweep."""
+
+    def __init__(self, rows: DataFrame):
+        spark = rows.sparkSession
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(1, -(-size // BUCKET_BYTES))
+        layout = self.layout = _Layout(self.buckets, _frequent(rows, self.buckets))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId() << 32
+            for k, pack in enumerate(_packs(batches)):
+                yield _batch(_pairs(pack, layout, part | k, False))
+
+        def merge(bucket: int, found: list[dict]) -> Iterator[dict]:
+            yield (row := _merged(layout, found))
+            b = Bucket.of(layout, row)
+            yield from b.report(bucket, b.start()[0], True)
+            yield from _total_rows(b.totals(b.start()))
+
+        stored = materialize(_by_bucket(rows.mapInArrow(count, _ROW), self.buckets, merge), "types", "kind")
+        self.types = stored.where(F.col("kind") == TYPES)
+        self.sides, self.states, self.totals = [self._add(stored, 0)], [], [self._sum(stored, 0)]
+        discard(stored, f"kind={REPORT}")
+        for k in range(1, SWEEPS + 1):
+            self._sweep(k)
+            if k - 1 < max(1, min(BURN_IN + 1, SWEEPS)) and len(self.states) > 1:
+                discard(self.states[-2], f"kind={STATE}")
+        spark.sparkContext._jvm.System.gc()  # shuffles of finished sweeps are deleted once they are unreachable
+
+    def sampled(self) -> dict[int, _Totals]:
+        return {k: self.totals[k] for k in range(min(BURN_IN, SWEEPS - 1) + 1, SWEEPS + 1)}
+
+    def _add(self, stored: DataFrame, k: int) -> DataFrame:
+        reports = stored.where(F.col("kind") == REPORT)
+        return materialize(_by_bucket(reports, self.buckets, lambda part, rows: _added(part, rows, k)), "sides")
+
+    def _sum(self, stored: DataFrame, k: int) -> _Totals:
+        found = stored.where(F.col("kind") == TOTAL).groupBy("seq").agg(F.sum("x"), F.sum("y")).collect()  # CLASSES + 2 rows and one for each frequent word
+        out = np.zeros((2, CLASSES + 2 + len(self.layout.hot)))
+        for r, x, y in found:
+            out[:, r] = x, y
+        hot_c, hot_n = out[0, CLASSES + 2 :].astype(np.int64), out[1, CLASSES + 2 :].astype(np.int64)
+        if k == 0:
+            self.tokens, self.vocabulary = int(out[0, CLASSES + 1] + hot_n.sum()), int(out[1, CLASSES + 1] + (hot_n > 0).sum())
+            hot_t = np.minimum(hot_c, 1)
+        else:
+            fresh = (STRENGTH[0] + DISCOUNT[0] * self.totals[-1].root_t) / (self.vocabulary + 1)
+            hot_t = _draw_tables(hot_c, np.full(len(hot_c), fresh), DISCOUNT[0], _uniform(self.layout.hot, 0, 3 * k + 2))
+        return _Totals(out[0, :CLASSES], out[1, :CLASSES], int(out[0, CLASSES] + hot_c.sum()), int(out[1, CLASSES] + hot_t.sum()), hot_c, hot_t, hot_n)
+
+    def _sweep(self, k: int) -> None:
+        layout, totals, vocabulary = self.layout, self.totals[-1], self.vocabulary
+
+        def sweep(bucket: int, rows: list[dict]) -> Iterator[dict]:
+            b = Bucket.of(layout, rows[0])
+            b.take([r for r in rows if r["kind"] == SIDE])
+            state = b.sweep(k, next((_state(r) for r in rows if r["kind"] == STATE), b.start()), totals, vocabulary)
+            yield _state_row(bucket, k, state)
+            yield from b.report(bucket, state[0], False)
+            yield from _total_rows(b.totals(state))
+
+        rows = self.types.unionByName(self.sides[-1])
+        if self.states:
+            rows = rows.unionByName(self.states[-1])
+        stored = materialize(_by_bucket(rows, self.buckets, sweep), "sweep", "kind")
+        state = stored.where(F.col("kind") == STATE)
+        state.stored_at = stored.stored_at
+        self.sides.append(self._add(stored, k))
+        self.totals.append(self._sum(stored, k))
+        self.states.append(state)
+        discard(stored, f"kind={REPORT}")
+        self.types.sparkSession.sparkContext._jvm.System.gc()
 
     def rows(self) -> DataFrame:
-        """Types (kind 0) and totals of their contexts (kind 1) as rows of _SENT."""
-        empty = F.lit(b"")
-        out = self.types.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("flush"), "h", "n", "ctx", "cnt", F.col("keys").alias("doc"))
-        for side in self.sides:
-            flush = F.shiftleft(F.col("k").cast("long"), 32) + F.col("part")
-            out = out.unionByName(side.where("bucket >= 0").select("bucket", F.lit(1).alias("kind"), flush.alias("flush"), F.col("cs").alias("h"), F.col("ts").alias("n"), empty.alias("ctx"), empty.alias("cnt"), empty.alias("doc")))
-        return out
-
-    def dealt(self) -> DataFrame:
-        if not self.sides:
-            return self.rows()
-        return self.rows().repartition(shuffle_partitions(self.types.sparkSession), "bucket").sortWithinPartitions("bucket", "kind", "flush")
-
-    def _sum(self) -> None:
-        """The next sweep's totals (the first: one table a dish)."""
-        class_of, totals, vocabulary, parts, k = self.class_of, list(self.totals), self.vocabulary, self.buckets, len(self.totals)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, RESTAURANTS + 1))
-            for b in _buckets(batches, class_of):
-                now, leaf_t = [x[:2] for x in b.run(totals, vocabulary)][-1] if k else (b.start(), np.ones(len(b.leaf_n)))
-                total += now
-                if rows := b.report(leaf_t, parts, k == 0):
-                    yield _batch(rows, _SUMS)
-            yield _batch([(r, *total[:, r], -1, None, None, None, None) for r in range(RESTAURANTS + 1)], _SUMS)
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def done(part: int, rows: list) -> pa.RecordBatch:
-                keys, at = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), return_inverse=True)
-                t = np.bincount(at, np.concatenate([np.frombuffer(r["ts"], np.uint32) for r in rows])).astype(np.uint32)
-                c = np.bincount(at, np.concatenate([np.frombuffer(r["cs"], np.uint32) for r in rows])).astype(np.uint32) if k == 0 else None
-                out, s = [(-1, part, k, keys.tobytes() if k == 0 else b"", c.tobytes() if k == 0 else b"", t.tobytes())], 0
-                for r in rows:
-                    own = at[s : s + len(r["keys"]) // 8]
-                    s += len(own)
-                    out.append((r["bucket"], part, k, b"", c[own].tobytes() if k == 0 else b"", t[own].tobytes()))
-                return _batch(out, _SIDES)
-
-            now, rows = None, []
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["part"] != now and rows:
-                        yield done(now, rows)
-                        rows = []
-                    now = r["part"]
-                    rows.append(r)
-            if rows:
-                yield done(now, rows)
-
-        sums = materialize(self.dealt().mapInArrow(run, _SUMS), "sums")
-        out = np.zeros((2, RESTAURANTS + 1))
-        for r, c, t in sums.where("part < 0").groupBy("r").agg(F.sum("c"), F.sum("t")).collect():  # a row a restaurant
-            out[:, r] = c, t
-        n = shuffle_partitions(sums.sparkSession)
-        by_part = sums.where("part >= 0").select("part", "bucket", "keys", "cs", "ts").repartition(n, "part").sortWithinPartitions("part", "bucket")
-        self.sides.append(materialize(by_part.mapInArrow(add, _SIDES), "sides"))
-        self.totals.append(out)
-
-    def extras(self, asked: DataFrame) -> DataFrame:
-        """asked (key, text): rows of _SENT (kind 2) with the totals of contexts that stand before a word there, for the word's bucket."""
-        buckets, top, empty = self.buckets, asked.sparkSession.sparkContext.broadcast(self.top), F.lit(b"")
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for pack in _packs(batches, 1):
-                h, w = pack.hashes(), pack.words()
-                _, room = _restaurant(pack, h, top.value)
-                ctx = np.r_[0, w[:-1]]
-                rest = room[ctx] >= CONTEXTS
-                code = np.unique(ctx[rest] * buckets + _bucket(h, buckets)[w[rest]])
-                key, to = room[code // buckets], (code % buckets).astype(np.int32)
-                order = np.argsort(key, kind="stable")
-                key, to = key[order], to[order]
-                at = _part(key, buckets)
-                if rows := [(int(at[s]), -1, key[s : s + m].tobytes(), to[s : s + m].tobytes(), b"") for s, m in zip(*_runs(at), strict=True)]:
-                    yield _batch(rows, "part int, k int, keys binary, cs binary, ts binary")
-
-        def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def done(part: int, rows: list) -> Iterator[pa.RecordBatch]:
-                asks, known = [r for r in rows if r["k"] < 0], sorted((r for r in rows if r["k"] >= 0), key=lambda r: r["k"])
-                if not asks or not known:
-                    return
-                keys, c = np.frombuffer(known[0]["keys"], np.uint64), np.frombuffer(known[0]["cs"], np.uint32)
-                t = np.stack([np.frombuffer(r["ts"], np.uint32) for r in known])
-                at, to = _find(keys, np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in asks])), np.concatenate([np.frombuffer(r["cs"], np.int32) for r in asks])
-                code = np.unique(to[at >= 0].astype(np.int64) * len(keys) + at[at >= 0])
-                to, at = code // len(keys), code % len(keys)
-                if out := [(int(to[s]), 2, part, keys[at[s : s + m]].tobytes(), c[at[s : s + m]].tobytes(), t[:, at[s : s + m]].tobytes(), b"", b"") for s, m in zip(*_runs(to), strict=True)]:
-                    yield _batch(out, _SENT)
-
-            now, rows = None, []
-            for batch in batches:
-                for r in batch.to_pylist():
-                    if r["part"] != now and rows:
-                        yield from done(now, rows)
-                        rows = []
-                    now = r["part"]
-                    rows.append(r)
-            if rows:
-                yield from done(now, rows)
-
-        both = asked.mapInArrow(ask, "part int, k int, keys binary, cs binary, ts binary")
-        for side in self.sides:
-            both = both.unionByName(side.where("bucket < 0").select("part", "k", "keys", "cs", "ts"))
-        return both.repartition(shuffle_partitions(asked.sparkSession), "part").sortWithinPartitions("part").mapInArrow(reply, _SENT)
-
-    def frequent(self) -> np.ndarray:
-        """log10 of the mean predictive probabilities of the CONTEXTS most frequent words after one another."""
-        class_of, totals, vocabulary, (sorted_, rank_of) = self.class_of, self.totals, self.vocabulary, self.top
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _buckets(batches, class_of):
-                at = _find(b.h, sorted_)
-                own = np.flatnonzero(at >= 0)
-                if len(own):
-                    ask = [(np.repeat(at[own], CONTEXTS), np.tile(np.arange(CONTEXTS), len(own)))]
-                    p = np.log10(b.probabilities(totals, vocabulary, class_of, ask)[0]).reshape(len(own), CONTEXTS)
-                    yield pa.RecordBatch.from_arrays([pa.array(rank_of[own]), pa.array([x.tobytes() for x in p], pa.binary())], names=["r", "p"])
-
-        out = np.zeros((CONTEXTS, CONTEXTS))
-        for r, p in self.dealt().mapInArrow(run, "r long, p binary").collect():  # at most CONTEXTS rows of CONTEXTS numbers
-            out[r] = np.frombuffer(p)
+        """All that scoring needs, by bucket."""
+        out = self.types.unionByName(self.sides[0])
+        for k in self.sampled():
+            out = out.unionByName(self.sides[k]).unionByName(self.states[k - 1])
         return out
 
 
-_SENT = "bucket int, kind int, flush long, h binary, n binary, ctx binary, cnt binary, doc binary"
-
-
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """A row for every row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The rows where learn holds are the training corpus. Null and empty texts are the end token alone. Repeated rows count as often
     as they occur. Without training rows every token has the base's and the model's only probability, 1. An empty table gives an
-    empty result. Words are told apart by 64-bit hashes. Extra columns are ignored.
+    empty result. Words are told apart by 64-bit hashes (contexts by 57 bits and their class). Extra columns are ignored. There are
+    no ties: scores don't depend on any order beyond rounding.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), "text")
-    model = Trained(rows.where("learn").select("doc_id", "text"))
-    sc = spark.sparkContext
-    top, frequent = sc.broadcast(model.top), sc.broadcast(model.frequent().astype(np.float64))
-    buckets, class_of, totals, vocabulary, tokens, top_n = model.buckets, model.class_of, model.totals, model.vocabulary, model.tokens, model.top_n
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), F.col("text").cast("string").alias("text"))
+    model = Trained(rows)
+    layout, buckets, sampled, vocabulary, tokens = model.layout, model.buckets, model.sampled(), model.vocabulary, model.tokens
     divisor = tokens + 0.5 * (vocabulary + 1)
-    base_of = lambda c: np.log10((c + 0.5) / divisor)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
-        packs = _packs((pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["id", "learn"]), b.column(2)], names=["k", "t"]) for b in batches), 1)
-        for pack in packs:
-            flush, seq = part << 32 | seq, seq + 1
-            h, w = pack.hashes(), pack.words()
-            rank, room = _restaurant(pack, h, top.value)
-            sizes = np.array(pack.sizes)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            ctx = np.r_[0, w[:-1]]
-            often = (rank[w] >= 0) & (rank[ctx] >= 0)
-            known = np.bincount(doc[often], minlength=len(sizes))
-            base = np.bincount(doc[often], base_of(top_n[rank[w[often]]]), len(sizes))
-            model_ = np.bincount(doc[often], frequent.value[rank[w[often]], rank[ctx[often]]], len(sizes))
-            out = []
-            w, ctx, doc = w[~often], ctx[~often], doc[~often]
-            order, place, dealt = _by_bucket(h, buckets)
-            h = h[order]
-            code = place[w] * len(h) + ctx
-            if len(h) < 1 << 23:
-                code = np.sort(code << 16 | doc)
-                start, n = _runs(code)
-                code, doc = code[start] >> 16, (code[start] & 0xFFFF).astype(np.uint16)
-            else:  # one very long text
-                order = np.lexsort((doc, code))
-                code, doc = code[order], doc[order]
-                start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])
-                n = np.diff(np.r_[start, len(code)])
-                code, doc = code[start], doc[start].astype(np.uint16)
-            n, w, ctx = n.astype(np.uint32), code // len(h), room[code % len(h)]
-            for s, m in zip(*_runs(dealt[w]), strict=True):
-                first, k = _runs(w[s : s + m])
-                out.append((int(dealt[w[s]]), 3, flush, h[w[s : s + m][first]].tobytes(), k.astype(np.int32).tobytes(), ctx[s : s + m].tobytes(), n[s : s + m].tobytes(), doc[s : s + m].tobytes()))
-            ids = pa.array([k["id"] for k in pack.keys], pa.int64())
-            meta = pa.RecordBatch.from_arrays([ids, pa.array([bool(k["learn"]) for k in pack.keys]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(model_)], names=["doc_id", "learn", "n_tokens", "known", "base", "score"])
-            out.append((flush % buckets, 4, flush, meta.serialize().to_pybytes(), b"", b"", b"", b""))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), *(pa.array([r[c] for r in out], pa.binary()) for c in range(3, 8))], names=["bucket", "kind", "flush", "h", "n", "ctx", "cnt", "doc"])
+        part = TaskContext.get().partitionId() << 32
+        for k, pack in enumerate(_packs(batches)):
+            meta = pa.RecordBatch.from_arrays([pack.doc_ids, pa.array(pack.learn), pa.array(pack.sizes)], names=["doc_id", "learn", "n"])
+            yield _batch([{"kind": META, "bucket": (part | k) % buckets, "seq": part | k, "a": meta.serialize().to_pybytes()}])
+            yield _batch(_pairs(pack, layout, part | k, True))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each flush and bucket: documents, known tokens, base and model sums."""
-        now: Bucket | None = None
-        held: list[dict] = []
-        size, row, sides, extras = 0, None, [], []
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            asks, counts = [], []
-            for r in held:
-                h, n = np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32)
-                at = np.repeat(_find(now.h, h), n)
-                asks.append((at, np.frombuffer(r["ctx"], np.uint64)))
-                counts.append(np.frombuffer(r["cnt"], np.uint32).astype(np.float64))
-            word, ctx = (np.concatenate([a[c] for a in asks]) for c in (0, 1))
-            every = word, now.room(ctx)
-            p = np.log10(now.probabilities(totals, vocabulary, class_of, [every])[0])
-            c = np.r_[now.c, 0][every[0]]
-            base, seen, at = base_of(c), c > 0, 0
-            for r, n in zip(held, counts, strict=True):
-                own = slice(at, at + len(n))
-                at += len(n)
-                doc = np.frombuffer(r["doc"], np.uint16)
-                some = np.flatnonzero(np.bincount(doc)).astype(np.uint16)
-                sums = [np.bincount(doc, x)[some] for x in (n * seen[own], n * base[own], n * p[own])]
-                yield pa.RecordBatch.from_arrays([pa.array([r["flush"]], pa.int64()), pa.array([1], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([sums[0].astype(np.uint32).tobytes()], pa.binary()), pa.array([sums[1].tobytes()], pa.binary()), pa.array([sums[2].tobytes()], pa.binary())], names=["flush", "kind", "doc", "known", "base", "score"])
-            held.clear()
-
-        bucket, nothing = None, {"h": b"", "n": b"", "ctx": b"", "cnt": b"", "keys": b""}  # no training word fell into the bucket
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["bucket"] != bucket or size > 32 << 20) and held:
-                    yield from settle()
-                    size = 0
-                if r["bucket"] != bucket:
-                    bucket, now, row, sides, extras = r["bucket"], None, nothing | {"bucket": r["bucket"]}, [], []
-                if r["kind"] == 0:
-                    row = r | {"keys": r["doc"]}
-                elif r["kind"] == 1:
-                    sides.append(_side(r))
-                elif r["kind"] == 2:
-                    extras.append((r["h"], r["n"], r["ctx"]))
-                elif r["kind"] == 3:
-                    if now is None:
-                        now = _load(row, class_of, tuple(sides))
-                        now.know(extras)
-                        sides, extras = [], []
-                    held.append(r)
-                    size += len(r["ctx"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["flush"]], pa.int64()), pa.array([0], pa.int32()), pa.array([r["h"]], pa.binary()), *(pa.array([b""], pa.binary()) for _ in range(3))], names=["flush", "kind", "doc", "known", "base", "score"])
-        if held:
-            yield from settle()
+        """For each pack the documents' (a) known tokens (b), base (c) and model (d) sums in this bucket."""
+        types, sides, states, predict = None, [], {}, None
+        for r in _rows(batches):
+            if r["kind"] == TYPES:
+                types = r
+            elif r["kind"] == SIDE:
+                sides.append(r)
+            elif r["kind"] == STATE:
+                states[r["seq"]] = _state(r)
+            elif r["kind"] == META:
+                yield _batch([r])
+            else:
+                if predict is None:
+                    b = Bucket.of(layout, types)
+                    b.take(sides)
+                    predict = _Predictive(b, states, sampled, vocabulary)
+                    types, sides, states = None, [], {}
+                k, n = _u(r["b"], np.int64), _u(r["e"], np.int64)
+                count, p = predict(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["c"], np.uint64), np.repeat(np.arange(len(k)), k), _u(r["d"], np.int64))
+                doc, times = _u(r["f"], np.uint16), _u(r["g"], np.int64)
+                some = np.flatnonzero(np.bincount(doc))
+                known, base, score_ = (np.bincount(doc, times * np.repeat(x, n))[some] for x in (count > 0, np.log10((count + 0.5) / divisor), np.log10(p)))
+                yield _batch([r | {"a": _z(some.astype(np.uint16)), "b": _z(known.astype(np.int64)), "c": base.tobytes(), "d": score_.tobytes(), "e": None, "f": None, "g": None}])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each flush's documents (kind 0 comes first) with the sums of all buckets."""
-        meta = sums = None
-
-        def done() -> pa.RecordBatch:
-            n = len(sums[0])
-            arrays = [meta.column(0), pa.array([not x for x in meta.column(1).to_pylist()], pa.bool_()), meta.column(2), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] == 0:
-                    if meta is not None:
-                        yield done()
-                    meta = pa.ipc.read_record_batch(pa.py_buffer(r["doc"]), pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
-                    sums = [meta.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in (3, 4, 5)]
-                else:
-                    at = np.frombuffer(r["doc"], np.uint16)
-                    for total, x in zip(sums, (np.frombuffer(r["known"], np.uint32), np.frombuffer(r["base"]), np.frombuffer(r["score"])), strict=True):
-                        total[at] += x
-        if meta is not None:
-            yield done()
-
-    n = shuffle_partitions(spark)
-    models = model.rows().unionByName(model.extras(rows.where(~F.coalesce("learn", F.lit(False))).select("doc_id", "text")))
-    sent = models.unionByName(rows.mapInArrow(send, _SENT)).repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "flush")
-    parts = sent.mapInArrow(answer, "flush long, kind int, doc binary, known binary, base binary, score binary")
-    back = parts.repartition(n, "flush").sortWithinPartitions("flush", "kind")
+        """Each pack's documents with the sums of all buckets: its META row comes last."""
+        parts: list[dict] = []
+        for r in _rows(batches):
+            if r["kind"] != META:
+                parts.append(r)
+                continue
+            meta = pa.ipc.read_record_batch(pa.py_buffer(r["a"]), pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n", pa.int64())]))
+            known, base, score_ = np.zeros((3, meta.num_rows))
+            for x in parts:
+                some = _u(x["a"], np.uint16)
+                known[some] += _u(x["b"], np.int64)
+                base[some] += np.frombuffer(x["c"])
+                score_[some] += np.frombuffer(x["d"])
+            parts = []
+            arrays = [meta.column(0), pc.invert(meta.column(1)), meta.column(2), pa.array(known.astype(np.int64)), pa.array(np.full(meta.num_rows, tokens, np.int64)), pa.array(base), pa.array(score_)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    sent = model.rows().unionByName(rows.mapInArrow(send, _ROW)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind", "seq").mapInArrow(answer, _ROW)
+    back = sent.repartition(shuffle_partitions(spark), "seq").sortWithinPartitions("seq", "kind", "bucket")
     return back.mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
