@@ -1,30 +1,39 @@
 """Document fingerprints by Order MinHash (Marcais et al., 2019), in DataFrame functions only.
 
-k-mers are K consecutive words (fewer words: the whole sequence), numbered by occurrence so that repeats count. One hash deals them
-to SLOTS slots by its upper bits; in each slot the TUPLE k-mers with the smallest hash are kept, put back into text order, and
-hashed as a tuple with the slot's number. As the tuples keep the order of their k-mers, slots agree in proportion to how much of
-the text is alike in content and order, which follows edit distance rather than set overlap.
-
-A k-mer is one long: the upper 34 bits of its hash, then 30 bits for its position, so that arrays sort as plain longs.
+k-mers are K consecutive words (fewer words: the whole sequence), numbered by occurrence so that repeats count. Each of SLOTS slots
+has an order of its own over all k-mers: their hashes on a ring, read clockwise from the slot's point. As hashes are random, each of
+these orders is any permutation with equal chance; those of different slots depend on one another, as they are turns of one ring,
+which leaves each slot's chance of agreeing what it is for independent orders. In each slot the TUPLE k-mers that come first are
+kept, put back into text order, and hashed as a tuple with the slot's number. As the tuples keep the order of their k-mers, slots
+agree in proportion to how much of the text is alike in content and order, which follows edit distance rather than set overlap.
+
+A k-mer is one long: the upper 34 bits of its hash, then 30 bits for its position, so that arrays sort as plain longs and the first
+k-mers after a point are found by bisection. Ties: of k-mers with equal hashes the one that stands first in the text comes first.
 """
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import WORD_GAP, binary_descent, longs, shuffle_partitions, table
+from brindle.llm.common import WORD_GAP, longs, materialize, shuffle_partitions, table
+from brindle.llm.sharding import interval, splitters
 
 K = 5
-SLOTS_BITS = 5
+SLOTS = 32
 TUPLE = 2
 PLACE_BITS = 30
-#: Blocks of neighbouring ids: about so many bytes of text, at most MOST_BLOCKS.
-BLOCK_BYTES, MOST_BLOCKS = 8 << 20, 1 << 16
-LOW = -(1 << 63)
+#: Blocks of neighbouring ids: about so many bytes of text.
+BLOCK_BYTES = 8 << 20
 _PLACE = (1 << PLACE_BITS) - 1
 
 
+def points() -> list[int]:
+    """The slots' places on the ring of signed longs."""
+    return [(xxhash.xxh64_intdigest(b"slot", k) & ~_PLACE) - (1 << 63) for k in range(SLOTS)]
+
+
 def _kmers(df: DataFrame, text: str, to: str) -> DataFrame:
     """Column `to`: the sorted array of packed, occurrence-numbered k-mers of column `text` (not null)."""
     bare = F.trim(F.regexp_replace(F.col(text), WORD_GAP, " "))
@@ -47,77 +56,76 @@ def _kmers(df: DataFrame, text: str, to: str) -> DataFrame:
 
 
 def _signature(df: DataFrame, kmers: str, to: str) -> DataFrame:
-    """Column `to`: a hash for each slot that has k-mers; `to`_n: their slots."""
-    s, c = F.col(kmers), F.col(f"{to}_c")
-    slot = lambda x: F.shiftright(x, 64 - SLOTS_BITS)
-    df = df.withColumn(f"{to}_c", F.filter(s, lambda x, i: (i < TUPLE) | (slot(F.get(s, i - TUPLE)) != slot(x))))
+    """Column `to`: a hash for each slot; empty where there is no k-mer."""
+    s, n = F.col(kmers), F.size(kmers)
     place = lambda x: x.bitwiseAND(_PLACE)
     value = lambda x: F.shiftright(x, PLACE_BITS)
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in reversed(range(PLACE_BITS))]), lambda step: step <= n)
+    df = df.withColumn(f"{to}_steps", steps)
+    first = lambda p: F.aggregate(f"{to}_steps", F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(s, at + step - 1) < p), at + step).otherwise(at))
+    df = df.withColumn(f"{to}_at", F.transform(longs(points()), first))
 
-    def pair(x: Column, i: Column) -> Column:
-        last = F.get(c, i - 1)
-        both = F.when(place(last) < place(x), F.xxhash64(slot(x), value(last), value(x))).otherwise(F.xxhash64(slot(x), value(x), value(last)))
-        tuple_ = F.when((i > 0) & (slot(last) == slot(x)), both).otherwise(F.xxhash64(slot(x), value(x)))
-        ends = F.coalesce(slot(F.get(c, i + 1)) != slot(x), F.lit(True))
-        return F.when(ends, tuple_)
+    def pair(at: Column, slot: Column) -> Column:
+        x, y = F.get(s, at % n), F.get(s, (at + 1) % n)
+        both = F.when(place(x) < place(y), F.xxhash64(slot, value(x), value(y))).otherwise(F.xxhash64(slot, value(y), value(x)))
+        return F.when(n == 1, F.xxhash64(slot, value(x))).otherwise(both)
 
-    return df.withColumns({to: F.array_compact(F.transform(c, pair)), f"{to}_n": F.array_distinct(F.transform(c, slot))}).drop(f"{to}_c", kmers)
+    none = F.array().cast("array<bigint>")
+    return df.withColumn(to, F.when(n == 0, none).otherwise(F.transform(f"{to}_at", pair))).drop(f"{to}_at", f"{to}_steps", kmers)
 
 
 def fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with the signature of column `text` (not null) as arrays `to` and `to`_n. Equal texts have equal signatures; a text without words has empty ones."""
+    """df with the signature of column `text` (not null) as array `to`. Equal texts have equal signatures; a text without words has an empty one."""
     return _signature(_kmers(df, text, f"{to}_k"), f"{to}_k", to)
 
 
 def likeness(a: str, b: str) -> Column:
-    """Equal slots among the slots that either side fills; 1 if neither fills any."""
-    every = F.size(F.array_union(f"{a}_n", f"{b}_n"))
-    return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / every.cast("double"))
+    """The share of equal slots; 1 if neither side has a k-mer, 0 if one hasn't."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.lit(float(SLOTS)))
+
 
+def _next(column: str) -> Column:
+    """The column of the row before this one in the order of (__k1, __k2); a block's last row has the next block's first as its ghost."""
+    return F.lead(column).over(Window.partitionBy("__to").orderBy("__ghost", F.desc("__k1"), F.desc("__k2")))
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (__id, __th and the columns) with next_<column> of the next row by descending (__id, __th), the first row's after the last.
 
-    Rows are dealt once, by blocks of neighbouring ids; each block also gets the first row of the block that follows.
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """docs (__k1, __k2, __size and others), each row in a block __to of neighbouring keys of near equal bytes, and the first row of
+    the block that follows as its __ghost: all rows' nexts are at hand. The only exchange of texts.
     """
-    spark = docs.sparkSession
-    light = docs.select("__id", "__th", "__bytes")
-    total, rows = light.agg(F.sum("__bytes"), F.count("*")).first()
-    wanted = min(MOST_BLOCKS, max(4 * shuffle_partitions(spark), (total or 0) // BLOCK_BYTES), max(1, (rows or 0) // 4))
-    cuts: list[int] = []
-    if wanted > 1:
-        at = [k / wanted for k in range(1, wanted)]
-        cuts = sorted(set(light.agg(F.percentile_approx("__id", at, max(10_000, 10 * wanted))).first()[0]))
-    cut = longs(cuts)
-    own = binary_descent(len(cuts), lambda j: F.get(cut, j) <= F.col("__id"))
-    firsts = {r[0]: (r[1][0], r[1][1]) for r in light.groupBy(own.alias("b")).agg(F.max(F.struct("__id", "__th"))).collect()}  # a row for each block
-    blocks = sorted(firsts, reverse=True)
-    before = {b: blocks[k - 1] for k, b in enumerate(blocks)}
+    light = materialize(docs.select("__k1", "__k2", "__size"), "ids")
+    total, rows = light.agg(F.sum("__size"), F.count("*")).first()
+    blocks = max(1, min(max(4 * shuffle_partitions(docs.sparkSession), (total or 0) // BLOCK_BYTES), (rows or 0) // 4))
+    cuts, _ = splitters(light, blocks, 0.25, (total or 0) + 1)
+    own = interval(cuts)
+    firsts = {r[0]: (r[1][0], r[1][1]) for r in light.groupBy(own.alias("b")).agg(F.max(F.struct("__k1", "__k2"))).collect()}  # a row for each block
+    order = sorted(firsts, reverse=True)
+    before = {b: order[k - 1] for k, b in enumerate(order)}
     every = range(len(cuts) + 1)
-    first_id, first_th, prior = (longs([f(b) for b in every]) for f in (lambda b: firsts.get(b, (0, 0))[0], lambda b: firsts.get(b, (0, 0))[1], lambda b: before.get(b, 0)))
+    first1, first2, prior = (longs([f(b) for b in every]) for f in (lambda b: firsts.get(b, (0, 0))[0], lambda b: firsts.get(b, (0, 0))[1], lambda b: before.get(b, 0)))
     b = F.col("__block")
-    is_first = (F.get(first_id, b) == F.col("__id")) & (F.get(first_th, b) == F.col("__th"))
+    is_first = (F.get(first1, b) == F.col("__k1")) & (F.get(first2, b) == F.col("__k2"))
     place = lambda block, ghost: F.struct(block.cast("long").alias("b"), F.lit(ghost).alias("ghost"))
     places = F.when(is_first, F.array(place(b, False), place(F.get(prior, b), True))).otherwise(F.array(place(b, False)))
-    dealt = docs.withColumn("__block", own).withColumn("__place", F.explode(places)).select("*", F.col("__place.b").alias("__to"), F.col("__place.ghost").alias("__ghost")).drop("__place", "__block")
-    w = Window.partitionBy("__to").orderBy("__ghost", F.desc("__id"), F.desc("__th"))
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where(~F.col("__ghost")).drop("__ghost", "__to")
+    return docs.withColumn("__block", own).withColumn("__place", F.explode(places)).select("*", F.col("__place.b").alias("__to"), F.col("__place.ghost").alias("__ghost")).drop("__place", "__block")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, its edited text's and their likenesses.
 
     Null texts count as empty; null ids come last in the order, rows of equal id by their text's hash; repeated rows follow each
-    other. A single row is its own next. An empty table gives an empty result. Extra columns are ignored.
+    other, in one block. A single row is its own next. An empty table gives an empty result. Extra columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("__id"), F.xxhash64(text).alias("__th"), F.octet_length(text).alias("__bytes"))
-    pairs = with_next(fingerprint(rows, "t", "fp"), ["t", "fp", "fp_n"])
+    text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    least = docs.agg(F.min(id_)).first()[0] or 0
+    rows = docs.select("doc_id", text.alias("t"), F.coalesce(id_, F.lit(max(least, 1 - (1 << 63)) - 1)).alias("__k1"), F.xxhash64(text).alias("__k2"), F.octet_length(text).cast("long").alias("__size"))
+    pairs = in_blocks(rows).withColumn("next_t", _next("t"))
     n = F.length("t")
     taken = F.floor(n / 3).cast("int")
-    edited = pairs.withColumn("e", F.concat(F.substring("t", F.lit(1), n - taken), F.substring("next_t", F.lit(1), taken)))
-    edited = edited.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("e", 256)}).drop("t", "next_t")
-    return fingerprint(edited, "e", "efp").drop("e")
+    edited = F.concat(F.substring("t", F.lit(1), n - taken), F.substring(F.coalesce("next_t", F.lit("")), F.lit(1), taken))
+    found = fingerprint(fingerprint(pairs.withColumn("e", edited), "t", "fp"), "e", "efp")
+    lean = found.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"), "fp", "efp", "__to", "__ghost", "__k1", "__k2")
+    return lean.withColumn("next_fp", _next("fp")).where(~F.col("__ghost")).drop("__to", "__ghost", "__k1", "__k2")
 
 
 def _said(c: str) -> Column:
