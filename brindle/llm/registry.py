@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat": chat.SQL}
+    return {"op8_licenses": licenses.SQL, "op9_chat": chat.SQL}
