@@ -3,9 +3,12 @@
 Features are byte 2- and 3-grams of the whole lower-cased text (letters only, words apart by one space), hashed to DIM buckets.
 First linear support vector machines, one for each language family against the rest, choose the family; then one-versus-one
 machines separate the languages of that family, by votes and then by summed margins. All are trained by dual coordinate descent
-(Hsieh et al., 2008) on the driver, from a bounded sample of the labelled rows: at most PER_LANG different texts of each of the
-MOST_LANGS most frequent languages, those with the smallest text hash; a text counts once, however often it is copied. Every other
-step works on all rows, without a shuffle.
+(Hsieh et al., 2008) on the driver, from a bounded sample of the labelled rows: of every language that occurs at most PER_LANG
+different texts, and fewer where all languages together would have over MOST_TEXTS (one at least), those with the smallest text
+hash; a text counts once, however often it is copied. Every other step works on all rows, without a shuffle.
+
+Ties: of equal margins the family, and of equal votes and margins the language, that comes first by name; a margin of zero between two
+languages is a vote for the second.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import held_out, pieces, table
 
-PER_LANG, MOST_LANGS = 250, 64
+PER_LANG, MOST_TEXTS = 250, 16_000
 BITS = 13
 DIM = 2 << BITS
 EPOCHS, COST = 12, 10.0
@@ -146,15 +149,17 @@ class Model:
         return labels, scores
 
 
-def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
-    """A model of the rows of docs where usable holds and lang and text aren't null."""
+def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, most_texts: int = MOST_TEXTS) -> Model:
+    """A model of the rows of docs where usable holds and lang and text aren't null. The driver gets a row for each language."""
+    spark = docs.sparkSession
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(3), "text").alias("h"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("rows"), "lang").limit(most_langs).collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h")).collect()
     if not counts:
         return Model([])
-    part = F.create_map(*[F.lit(x) for lang, _, n in counts for x in (lang, min(1.0, 4.0 * per_lang / max(1, n)))])
+    per_lang = max(1, min(per_lang, most_texts // len(counts)))
+    parts = spark.createDataFrame([(lang, min(1.0, 4.0 * per_lang / max(1, n))) for lang, n in counts], "lang string, __part double")
     place = F.abs(F.col("h") / float(1 << 63))
-    near = labelled.where(F.col("lang").isin([r[0] for r in counts])).where(place <= F.element_at(part, F.col("lang"))).select("lang", "h").distinct()
+    near = labelled.join(F.broadcast(parts), "lang").where(place <= F.col("__part")).select("lang", "h").distinct()
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
     chosen = near.withColumn("__n", nth).where(F.col("__n") <= per_lang).select("lang", "h")  # at most per_lang rows for each language
     wanted = labelled.join(F.broadcast(chosen), ["lang", "h"], "left_semi")
@@ -176,10 +181,12 @@ def train(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, most_langs:
 
 
 def identify(docs: DataFrame, model: Model, columns: list[Column | str]) -> DataFrame:
-    """The given columns of docs (none named lang_pred or score) with lang_pred and score. Only the text is looked at."""
-    source = docs.select(*columns, F.col("text").alias("__text"))
+    """The given columns of docs with lang_pred and score, which replace columns of these names. Only the text is looked at."""
+    named = docs.select(*columns).columns
+    kept = [c for c, n in zip(columns, named, strict=True) if n not in ("lang_pred", "score")]
+    source = docs.select(*kept, F.col("text").alias("__text"))
     schema = source.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size bounded by DIM and MOST_LANGS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers for each family and pair of languages in one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
