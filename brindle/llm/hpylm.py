@@ -42,9 +42,9 @@ SWEEPS, BURN_IN = 3, 1
 #: Customers of a dish up to which generalised Stirling numbers are tabulated.
 EXACT = 1024
 #: Text that a bucket's words stand for, and the documents (one in so many) in which words too frequent for one bucket are looked for.
-BUCKET_BYTES, LOOKED_AT = 32 << 20, 64
+BUCKET_BYTES, LOOKED_AT = 24 << 20, 64
 #: Tokens and documents that a map task packs together, and bytes of text that are split at a time.
-FLUSH_TOKENS, FLUSH_DOCS, PIECE = 1 << 21, 30_000, 8 << 20
+FLUSH_TOKENS, FLUSH_DOCS, PIECE = 3 << 19, 30_000, 4 << 20
 #: The end of a text as a token; words hold no line break.
 END = b"\n"
 _END = xxhash.xxh64_intdigest(END)
@@ -503,19 +503,19 @@ def _added(part: int, rows: list[dict], k: int) -> Iterator[dict]:
 
 
 def _frequent(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Hashes of words that seem to hold over half a bucket, from one document in LOOKED_AT. The layout alone depends on them."""
+    """Hashes of words that seem to hold over an eighth of a bucket, from one document in LOOKED_AT. The layout alone depends on them."""
     if buckets == 1:
         return np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _packs(batches):
             n = np.bincount(pack.ids, minlength=len(pack.h))
-            own = np.flatnonzero(n * 8 * buckets >= n.sum())
+            own = np.flatnonzero(n * 32 * buckets >= n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.uint64(0), pack.h[own]].view(np.int64)), pa.array(np.r_[n.sum(), n[own]].astype(np.int64))], names=["h", "n"])
 
     looked = rows.where(F.pmod(F.xxhash64("text"), F.lit(LOOKED_AT)) == 0).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     total = F.max(F.when(F.col("h") == 0, F.col("n"))).over(Window.partitionBy())
-    found = looked.orderBy(F.desc("n")).limit(2 * buckets + 1).withColumn("all", total).where((F.col("h") != 0) & (F.col("n") * 2 * buckets >= F.col("all"))).collect()  # shares over 1 in 2 * buckets
+    found = looked.orderBy(F.desc("n")).limit(8 * buckets + 1).withColumn("all", total).where((F.col("h") != 0) & (F.col("n") * 8 * buckets >= F.col("all"))).collect()  # shares over 1 in 8 * buckets
     return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
 
 
