@@ -17,6 +17,8 @@ from brindle.sources.catalog import Catalog, Table
 ORDER = ("__epoch", "__seq")
 #: Changes of a table without key between two writes of its snapshot.
 BAG_CHANGES = 4
+#: Copies of a row that are made from one array.
+COPIES = 1 << 16
 
 
 @dataclass
@@ -73,19 +75,31 @@ def apply_keyed(base: DataFrame, delta: DataFrame, key: tuple[str, ...]) -> Data
     return kept.unionByName(last).alias("here").join(gone, _same(columns, "gone") & after, "left_anti").select(*columns)
 
 
+def _copies(df: DataFrame, n: str) -> DataFrame:
+    """Each row n times, in two steps, so that no array is as long as a large count."""
+    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES).cast("long"))))
+    return blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES), F.col(n) - F.col("__block") * COPIES))))
+
+
 def apply_bag(base: DataFrame, delta: DataFrame) -> DataFrame:
-    """base after the changes in a table without key: +1 appends a copy, -1 removes one if there is any."""
+    """base after the changes in a table without key: +1 appends a copy, -1 removes one if there is any.
+
+    A value's changes are summed by ranges of their order, each with its least running sum, and then over the ranges: a value that
+    holds most of the changes is spread over the ranges' tasks.
+    """
     columns = base.columns
     names = [F.col(f"`{c}`") for c in columns]
-    steps = delta.where("__weight <> 0").select(*names, *ORDER, F.when(F.col("__weight") > 0, 1).otherwise(-1).alias("__step"))
-    start = base.alias("here").join(delta.select(*columns).distinct().alias("touched"), _same(columns, "touched"), "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("__step"))
-    first = start.select(*columns, F.lit(None).cast("int").alias("__epoch"), F.lit(None).cast("long").alias("__seq"), "__step")
-    every = first.unionByName(steps.withColumn("__step", F.col("__step").cast("long")))
-    running = F.sum("__step").over(Window.partitionBy(*names).orderBy(F.col("__epoch").asc_nulls_first(), F.col("__seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    counted = every.withColumn("__running", running).groupBy(*names).agg((F.sum("__step") - F.least(F.lit(0), F.min("__running"))).alias("__n"))
-    changed = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)
-    same = base.alias("here").join(delta.select(*columns).distinct().alias("touched"), _same(columns, "touched"), "left_anti")
-    return same.unionByName(changed)
+    touched = delta.where("__weight <> 0").select(*columns).distinct().alias("touched")
+    start = base.alias("here").join(touched, _same(columns, "touched"), "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("__sum"))
+    step = F.when(F.col("__weight") > 0, 1).otherwise(-1).cast("long")
+    steps = delta.where("__weight <> 0").select(*names, *ORDER, step.alias("__step")).repartitionByRange(*ORDER).withColumn("__range", F.spark_partition_id())
+    running = F.sum("__step").over(Window.partitionBy(*names, "__range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    ranges = steps.withColumn("__running", running).groupBy(*names, "__range").agg(F.sum("__step").alias("__sum"), F.min("__running").alias("__low"))
+    every = start.select(*columns, F.lit(-1).alias("__range"), "__sum", F.lit(0).cast("long").alias("__low")).unionByName(ranges)
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*names).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = every.withColumn("__low", before + F.col("__low")).groupBy(*names).agg((F.sum("__sum") - F.least(F.lit(0), F.min("__low"))).alias("__n"))
+    same = base.alias("here").join(touched, _same(columns, "touched"), "left_anti")
+    return same.unionByName(_copies(counted.where("__n > 0"), "__n").select(*columns))
 
 
 def apply_zset(catalog: Catalog, delta: ZSet) -> None:

@@ -69,8 +69,8 @@ def delete(catalog: Catalog, s: Delete, params: dict | None = None) -> ZSet:
     return ZSet.of(s.table, rows.where(meets).select(*columns), -1)
 
 
-def update(catalog: Catalog, s: Update, params: dict | None = None) -> ZSet:
-    """A -1 of the old and a +1 of the new row for each match, also where nothing changes."""
+def update(catalog: Catalog, s: Update, params: dict | None = None, strict: bool = True) -> ZSet:
+    """A -1 of the old and a +1 of the new row for each match, also where nothing changes. strict: changed keys must stay unique."""
     table = catalog[s.table]
     sets = {}
     for name, e in s.sets:
@@ -81,7 +81,10 @@ def update(catalog: Catalog, s: Update, params: dict | None = None) -> ZSet:
     hit = rows.where(meets)
     old = hit.select(*[F.col(f"`{c}`") for c in table.domains])
     new = hit.select(*[sets.get(c, F.col(f"`{c}`")).alias(c) for c in table.domains])
-    table.changed(rows.select(*[(F.when(meets, sets[c]).otherwise(F.col(f"`{c}`")) if c in sets else F.col(f"`{c}`")).alias(c) for c in table.domains]))
+    after = rows.select(*[(F.when(meets, sets[c]).otherwise(F.col(f"`{c}`")) if c in sets else F.col(f"`{c}`")).alias(c) for c in table.domains])
+    if strict and set(table.key) & set(sets) and not after.groupBy(*[F.col(f"`{c}`") for c in table.key]).count().where("count > 1").isEmpty():
+        raise ConstraintError(f"{s.table}: a key would occur twice")
+    table.changed(after)
     weighted = lambda df, seq, weight: df.withColumns({"__epoch": F.lit(0), "__seq": F.lit(seq).cast("long"), "__weight": F.lit(weight)})
     return ZSet({s.table: weighted(old, 0, -1).unionByName(weighted(new, 1, 1))})
 

@@ -20,6 +20,12 @@ _OPS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt
 _CLASS = {"I64": "number", "NUM": "number", "STRING": "string", "UUID": "uuid", "TIME": "time", "NULL": "null", "OTHER": "other"}
 
 
+def comparable(a: str, b: str) -> bool:
+    """Whether values of two domains can be equal: those of one class, and text with a time."""
+    one, two = _CLASS[a], _CLASS[b]
+    return one != "null" and (one == two or {one, two} == {"time", "string"})
+
+
 class AnalysisError(DialectError):
     """The statement names or combines things that don't fit."""
 
@@ -54,6 +60,11 @@ def literal(v) -> Column:
     return F.lit(int(v) if isinstance(v, bool) else str(v) if isinstance(v, uuid.UUID) else v)
 
 
+def timed(c: Column, domain: str, other: str) -> Column:
+    """Text that is compared with a time, as a time (null where it is none); all else as it is."""
+    return c.try_cast("timestamp") if domain == "STRING" and other == "TIME" else c
+
+
 def host_params(params: dict) -> dict:
     """Parameters as a text host sends them: whole numbers only, and UUID-shaped strings become UUIDs."""
 
@@ -118,12 +129,9 @@ class Lowering:
         raise AnalysisError(f"{type(e).__name__} can't be compared")
 
     def compare(self, op: str, a: tuple[Column, str], b: tuple[Column, str]) -> Column:
-        one, two = _CLASS[a[1]], _CLASS[b[1]]
-        if {one, two} == {"time", "string"}:
-            two = one = "time"
-        if one != two or one == "null":
+        if not comparable(a[1], b[1]):
             return F.lit(False)
-        return getattr(a[0], _OPS[op])(b[0])
+        return getattr(timed(*a, b[1]), _OPS[op])(timed(*b, a[1]))
 
     def among(self, e: In) -> list:
         if len(e.among) == 1 and isinstance(e.among[0], Param):
@@ -146,8 +154,8 @@ class Lowering:
             if isinstance(e.among, Sub):
                 return F.coalesce(F.col(marks[e]), F.lit(False))
             column, domain = self.operand(e.item, scope)
-            good = [v for v in self.among(e) if v is not None and _CLASS[literal_domain(v)] == _CLASS[domain]]
-            return column.isin([literal(v) for v in good]) if good else F.lit(False)
+            good = [timed(literal(v), literal_domain(v), domain) for v in self.among(e) if comparable(literal_domain(v), domain)]
+            return column.isin(good) if good else F.lit(False)
         if isinstance(e, Lit) and isinstance(e.value, bool):
             return F.lit(e.value)
         raise AnalysisError(f"{type(e).__name__} is no predicate")
@@ -181,8 +189,10 @@ class Lowering:
         if len(sub.df.columns) != 1:
             raise AnalysisError("the subquery of IN has one column")
         item, domain = self.operand(e.item, scope)
-        df = sub.df if _CLASS[domain] == _CLASS[sub.domains[0]] else sub.df.limit(0)
-        return item.cast("string") if _CLASS[domain] != _CLASS[sub.domains[0]] else item, df.select(F.col(f"`{df.columns[0]}`").cast("string").alias("v") if _CLASS[domain] != _CLASS[sub.domains[0]] else F.col(f"`{df.columns[0]}`").alias("v"))
+        value = F.col(f"`{sub.df.columns[0]}`")
+        if not comparable(domain, sub.domains[0]):  # nothing is equal
+            return item.cast("string"), sub.df.limit(0).select(value.cast("string").alias("v"))
+        return timed(item, domain, sub.domains[0]), sub.df.select(timed(value, sub.domains[0], domain).alias("v"))
 
     def _semi(self, df: DataFrame, e: In, scope: Scope) -> DataFrame:
         item, sub = self._sub(e, scope)
@@ -334,7 +344,13 @@ def query(catalog: Catalog, sql: str | Select, params: dict | None = None, seman
     tree = parse(sql) if isinstance(sql, str) else sql
     if not isinstance(tree, Select):
         raise DialectError("query() takes a SELECT")
-    return Lowering(catalog, params, semantics, frozenset(triggered)).select(tree).df
+    lowering = Lowering(catalog, params, semantics, frozenset(triggered))
+    if catalog.trace is None:
+        return lowering.select(tree).df
+    from brindle.plans.explain import plan_text  # it imports this module
+
+    with catalog.trace.query(sql if isinstance(sql, str) else "prepared", plan=plan_text(catalog, tree)):  # the time is that of planning; Spark runs it later
+        return lowering.select(tree).df
 
 
 class Prepared:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +29,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all machines share; in a local session one of our own where that is unset, gone with the process."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """A folder of the shared file system, whatever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def shared_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A new folder that all machines share, deleted afterwards."""
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete_folder(spark, path)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written once and read back, so that its lineage is short and lost executors cost nothing but the read.
-
-    The folder is spark.checkpoint.dir, which all machines share; one of our own only where that is unset.
-    """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df written once and read back, so that its lineage is short and lost executors cost nothing but the read."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from brindle.plans.dialect import ColumnDef, CreateTable, DialectError, Index
 from brindle.session import settled
+from brindle.trace import Trace
 
 _SPARK = {"I64": T.LongType(), "STRING": T.StringType(), "UUID": T.StringType()}
 #: Changes of a table between two writes of its snapshot.
@@ -43,7 +44,13 @@ class Table:
         """A new snapshot. After CHANGES of them it is written, as plans grow with each change."""
         self.rows, self.changes = rows, self.changes + 1
         if self.changes >= (every or CHANGES):
-            self.rows, self.changes = settled(rows), 0
+            self.rows, self.changes = settled(self.laid_out(rows)), 0
+
+    def laid_out(self, rows: DataFrame) -> DataFrame:
+        """rows by ranges of the first sorted index, or else the key: a lookup of a prefix then reads the files and row groups it falls in."""
+        columns = next((i.columns for i in self.indexes if i.kind == "BTREE"), self.key)
+        by = [F.col(f"`{c}`") for c in columns]
+        return rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
 
 
 def domain_of(kind: T.DataType) -> str:
@@ -63,6 +70,7 @@ class Catalog:
         self.spark = spark
         self.tables: dict[str, Table] = {}
         self.unread: dict[str, Callable[[], Table]] = {}  # tables whose files are looked at when first used
+        self.trace: Trace | None = None
 
     def __getitem__(self, name: str) -> Table:
         if name in self.unread:
@@ -223,6 +231,10 @@ def equals_if_given(column: str, value) -> Column:
     return F.lit(True) if value is None else F.col(column) == value
 
 
+def at_least(column: str, value) -> Column:
+    return F.lit(True) if value is None else F.col(column) >= value
+
+
 def equals_or_null(column: str, value) -> Column:
     """Null-safe equality: a null value finds the null rows."""
     return F.col(column).eqNullSafe(F.lit(value))

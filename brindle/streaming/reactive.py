@@ -1,9 +1,10 @@
 """Which subscriptions does a batch of row changes wake, and which of their conditions fired?
 
-REACTIVE(column) fires on any change of the column's table, REACTIVE(predicate) on changed rows that meet the predicate. A condition
-with equalities and INs in its AND chain gets composite lookup keys. Conditions that differ only in constants share a template: its
-subscriptions are rows (sub_id, cond, keys k*, constants v*), and a batch of changes is joined once for each template, by the keys
-where there are any, and the full predicate is verified after the join. Many subscriptions cost rows, not joins.
+REACTIVE(column) fires on any change of the column's table, REACTIVE(predicate) on changed rows that meet the predicate. The branches
+of an OR are looked up each for itself. A branch with equalities and INs in its AND chain gets composite lookup keys. Branches that
+differ only in constants share a template: its subscriptions are rows (sub_id, cond, keys k*, constants v*), and a batch of changes is
+joined once for each template, by the keys where there are any, and the full predicate is verified after the join. A single comparison
+of a column with a constant needs no join: the least and the largest changed value decide it. Many subscriptions cost rows, not joins.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 from brindle.operators.delta import ZSet
 from brindle.plans.dialect import Agg, Bool, Cmp, Col, DialectError, In, IsNull, Lit, Param, Reactive, Select, Sub, parse, walk
-from brindle.plans.lower import _CLASS, _OPS, AnalysisError, Scope, literal_domain, query, scalar
+from brindle.plans.lower import _OPS, AnalysisError, Scope, bound, comparable, literal_domain, query, scalar, timed
 from brindle.sources.catalog import Catalog
+from brindle.trace import Trace
 
 #: Key tables up to so many rows are sent to all executors; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -43,6 +45,11 @@ def or_to_in(e):
     return Bool(e.op, a, b)
 
 
+def branches(e) -> list:
+    """A predicate's alternatives: it holds where one of them does."""
+    return branches(e.left) + branches(e.right) if isinstance(e, Bool) and e.op == "OR" else [e]
+
+
 def _values(e):
     if isinstance(e, Cmp) and e.op == "=":
         for c, v in ((e.left, e.right), (e.right, e.left)):
@@ -126,7 +133,7 @@ def _shape(e, table, params: dict, slots: list):
     if isinstance(e, In):
         among = _among(e, params)
         domain = table.domains[e.item.name]
-        good = [_plain(v) for v in among if v is not None and _CLASS[literal_domain(v)] == _CLASS[domain]]
+        good = [_plain(v) for v in among if comparable(literal_domain(v), domain)]
         slots.append(("*" + ("NUM" if any(isinstance(v, float) for v in good) else "I64" if domain in ("I64", "NUM") else "STRING"), good))
         return ("in", side(e.item), len(slots) - 1)
     if isinstance(e, Lit) and isinstance(e.value, bool):
@@ -135,8 +142,6 @@ def _shape(e, table, params: dict, slots: list):
 
 
 def _among(e: In, params: dict) -> list:
-    from brindle.plans.lower import bound
-
     if len(e.among) == 1 and isinstance(e.among[0], Param):
         v = bound(e.among[0], params)
         return list(v) if isinstance(v, (list, tuple)) else [v]
@@ -151,16 +156,25 @@ def _verify(shape) -> Column:
     side = lambda s: F.col(f"`{s[1]}`") if s[0] == "col" else F.col(f"__v{s[1]}")
     if kind == "cmp":
         a, b = shape[2], shape[3]
-        if _CLASS[a[2]] != _CLASS[b[2]] or "NULL" in (a[2], b[2]):
+        if not comparable(a[2], b[2]):
             return F.lit(False)
-        return F.coalesce(getattr(side(a), _OPS[shape[1]])(side(b)), F.lit(False))
+        return F.coalesce(getattr(timed(side(a), a[2], b[2]), _OPS[shape[1]])(timed(side(b), b[2], a[2])), F.lit(False))
     if kind == "null":
         return side(shape[2]).isNotNull() if shape[1] else side(shape[2]).isNull()
     if kind == "in":
+        if shape[1][2] == "TIME":
+            return F.coalesce(F.array_contains(F.transform(F.col(f"__v{shape[2]}"), lambda v: v.try_cast("timestamp")), side(shape[1]).cast("timestamp")), F.lit(False))
         return F.coalesce(F.array_contains(F.col(f"__v{shape[2]}"), side(shape[1]).cast("double" if shape[1][2] == "NUM" else "long" if shape[1][2] == "I64" else "string")), F.lit(False))
     return F.lit(shape[1])
 
 
+def _compared(shape) -> str | None:
+    """The column where the predicate is one comparison, other than equality, of a column with a constant."""
+    if shape[0] == "cmp" and shape[1] != "=" and {shape[2][0], shape[3][0]} == {"col", "slot"}:
+        return next(s[1] for s in shape[2:] if s[0] == "col")
+    return None
+
+
 def lookup_keys(predicate, table, params: dict) -> list[tuple[str, list]]:
     """(column, values) for each equality and IN of the AND chain, the first for each column; empty: the table is scanned."""
     out: dict[str, list] = {}
@@ -172,7 +186,7 @@ def lookup_keys(predicate, table, params: dict) -> list[tuple[str, list]]:
         elif found := _values(e):
             column, among = found
             values = _among(In(column, among), params)
-            good = [_plain(v) for v in values if v is not None and _CLASS[literal_domain(v)] == _CLASS[table.domains[column.name]]]
+            good = [_plain(v) for v in values if comparable(literal_domain(v), table.domains[column.name])]
             out.setdefault(column.name, list(dict.fromkeys(good)))
     return sorted(out.items())
 
@@ -192,6 +206,7 @@ class Registry:
         self.dirty: dict[int, set[int]] = {}
         self.wake: Callable[[], None] | None = None
         self.trace: dict[str, int] = {"batches": 0, "templates": 0, "fired": 0}
+        self.log = Trace()  # a round's templates and what fired, by condition
 
     # -- subscribing
     def subscribe(self, sql: str, params: dict | None = None) -> tuple[int, int]:
@@ -204,27 +219,27 @@ class Registry:
                 raise DialectError("only a SELECT can be subscribed to")
             found = conditions(self.catalog, tree)
             sub = next(self._next_id)
-            used = [self._add(sub, c, params or {}) for c in found]
+            used = [(c.index, self._add(sub, c.index, c.table, branch, params or {})) for c in found for branch in branches(c.predicate)]
             self.by_text[text] = sub
             self.known[sub] = (text, tree, params or {}, used)
         self.handles[handle] = self.by_text[text]
         self.holders[self.by_text[text]] += 1
         return handle, self.by_text[text]
 
-    def _add(self, sub: int, c: Condition, params: dict) -> tuple:
-        table = self.catalog[c.table]
+    def _add(self, sub: int, index: int, name: str, predicate, params: dict) -> tuple:
+        table = self.catalog[name]
         slots: list = []
-        shape = ("const", True) if c.predicate is None else _shape(c.predicate, table, params, slots)
-        keys = [] if c.predicate is None else lookup_keys(c.predicate, table, params)
+        shape = ("const", True) if predicate is None else _shape(predicate, table, params, slots)
+        keys = [] if predicate is None else lookup_keys(predicate, table, params)
         names = tuple(k for k, _ in keys)
-        key_types = tuple("NUM" if any(isinstance(v, float) for v in vs) or table.domains[k] == "NUM" else "I64" if table.domains[k] == "I64" else "STRING" for k, vs in keys)
+        key_types = tuple("NUM" if any(isinstance(v, float) for v in vs) or table.domains[k] == "NUM" else table.domains[k] if table.domains[k] in ("I64", "TIME") else "STRING" for k, vs in keys)
         slot_types = tuple(d for d, _ in slots)
-        which = (c.table, shape, names, key_types, slot_types)
+        which = (name, shape, names, key_types, slot_types)
         template = self.templates.setdefault(which, Template(*which))
         fit = lambda v, d: float(v) if d == "NUM" and v is not None else [float(x) for x in v] if d == "*NUM" else v
         values = tuple(fit(v, d) for (_, v), d in zip(slots, slot_types, strict=True))
         combos = itertools.product(*[[fit(v, t) for v in vs] for (_, vs), t in zip(keys, key_types, strict=True)])
-        template.rows[sub, c.index] = [(sub, c.index, *combo, *values) for combo in combos]
+        template.rows.setdefault((sub, index), []).extend((sub, index, *combo, *values) for combo in combos)
         template.frame = None
         return which
 
@@ -238,7 +253,7 @@ class Registry:
             del self.holders[sub]
             text, _, _, used = self.known.pop(sub)
             del self.by_text[text]
-            for index, which in enumerate(used):
+            for index, which in set(used):
                 template = self.templates[which]
                 del template.rows[sub, index]
                 template.frame = None
@@ -259,12 +274,17 @@ class Registry:
             if sum(map(len, t.rows.values())) <= BROADCAST_ROWS:
                 subs = F.broadcast(subs)
             if t.shape == ("const", True):
-                one = subs.select("sub_id", "cond").crossJoin(F.broadcast(rows.select(F.lit(1).alias("__any")).limit(1))).select("sub_id", "cond")
+                one = subs.where(rows.limit(1).agg(F.count(F.lit(1))).scalar() > 0).select("sub_id", "cond")
+            elif compared := _compared(t.shape):
+                ends = F.array(F.min(F.col(f"`{compared}`")), F.max(F.col(f"`{compared}`")))
+                one = subs.withColumn(compared, F.explode(rows.agg(ends).scalar())).where(_verify(t.shape)).select("sub_id", "cond").distinct()
             elif t.key_columns:
                 on = None
                 for k, (c, kind) in enumerate(zip(t.key_columns, t.key_types, strict=True)):
-                    column = F.col(f"`{c}`").cast("double") if kind == "NUM" else F.col(f"`{c}`").cast("long") if kind == "I64" else F.col(f"`{c}`")
-                    on = (column == F.col(f"__k{k}")) if on is None else on & (column == F.col(f"__k{k}"))
+                    as_kind = {"NUM": "double", "I64": "long", "TIME": "timestamp"}.get(kind)
+                    column = F.col(f"`{c}`").cast(as_kind) if as_kind else F.col(f"`{c}`")
+                    equal = column == timed(F.col(f"__k{k}"), "STRING", kind)
+                    on = equal if on is None else on & equal
                 one = rows.join(subs, on).where(_verify(t.shape)).select("sub_id", "cond")
             else:
                 one = rows.join(subs, _verify(t.shape)).select("sub_id", "cond")
@@ -297,6 +317,8 @@ class Registry:
         self.trace["batches"] += 1
         self.trace["templates"] += len(self.templates)
         self.trace["fired"] += len(found)
+        asked = [{"table": t.table, "keys": t.key_columns, "subscriptions": len(t.rows)} for t in self.templates.values() if t.table in delta.parts]
+        self.log.event("round", templates=asked, fired=sum(len(r.conditions) for r in found), conditions=dict(Counter(c for r in found for c in r.conditions)))
         self._mark({r.sub_id: set(r.conditions) for r in found})
 
     def notify_all(self) -> None:

@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.operators.delta import ZSet, apply_zset
-from brindle.session import settled
+from brindle.session import settled, shared_folder
 from brindle.sources.catalog import Catalog
 from brindle.streaming.reactive import Registry
 
@@ -208,18 +209,33 @@ def latest_image(feed: DataFrame, key: str, seq: str, deleted: str) -> DataFrame
     return last.select(key, "__r.*").where(f"NOT ({deleted})")
 
 
-def maintain(feed: DataFrame, path: str, key: str, seq: str, deleted: str, checkpoint: str, **trigger):
-    """A streaming query that keeps the latest image of a change feed under path, a version for each micro-batch.
+def maintain(feed: DataFrame, path: str, key: str, seq: str, deleted: str, checkpoint: str, buckets: int = 64, **trigger):
+    """A streaming query that keeps the latest row of each key of a change feed under path, in folders by the key's bucket.
 
-    Each version is written whole before `versions` names it, so that a batch that is repeated after a failure overwrites its own.
+    A micro-batch rewrites the buckets it touches and no other. Rows of deleted keys stay (a late, older change must not bring them
+    back): readers leave out what meets `deleted`, as image() does. A batch that is repeated after a failure gives the same rows.
     """
     spark = feed.sparkSession
-    schema = feed.schema
+    names = feed.columns
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = lambda: where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    stored = T.StructType([*feed.schema.fields, T.StructField("__bucket", T.IntegerType())])
 
     def batch(df: DataFrame, epoch: int) -> None:
-        # rows of deleted keys are kept as well: a late, older change must not bring them back
-        old = spark.read.schema(schema).parquet(f"{path}/v{epoch - 1}") if epoch else None
-        every = df if old is None else old.unionByName(df)
-        latest_image(every, key, seq, "false").select(*schema.names).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        every = df.withColumn("__bucket", F.pmod(F.hash(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in every.select("__bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        if there():
+            every = spark.read.schema(stored).parquet(path).where(F.col("__bucket").isin(touched)).unionByName(every)
+        with shared_folder(spark, "image") as folder:  # written whole before the buckets it was read from are replaced
+            latest_image(every, key, seq, "false").select(*names, "__bucket").write.parquet(folder)
+            new = spark.read.schema(stored).parquet(folder).repartition("__bucket")
+            new.write.partitionBy("__bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def image(spark: SparkSession, path: str, deleted: str) -> DataFrame:
+    """What maintain() keeps, without deleted keys."""
+    return spark.read.parquet(path).drop("__bucket").where(f"NOT coalesce({deleted}, false)")

@@ -1,9 +1,10 @@
-"""Bounded logs of events and queries, with slow queries marked."""
+"""Bounded logs of events and queries, with slow queries marked. A Catalog with a trace logs its queries, a Registry its rounds."""
 
 from __future__ import annotations
 
 import time
 from collections import deque
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -19,10 +20,11 @@ class Trace:
         self.events.append((time.time(), kind, what))
 
     @contextmanager
-    def query(self, sql: str):
-        began = time.perf_counter()
+    def query(self, sql: str, **what) -> Iterator[dict]:
+        """Logs what runs inside; more facts can be put into the entry."""
+        entry, began = {"sql": sql, **what}, time.perf_counter()
         try:
-            yield
+            yield entry
         finally:
             took = time.perf_counter() - began
-            self.queries.append({"sql": sql, "s": took, "slow": took > SLOW_S})
+            self.queries.append(entry | {"s": took, "slow": took > SLOW_S})

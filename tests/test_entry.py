@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
+from brindle.plans import catalog_queries, engine_queries
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
@@ -25,33 +26,30 @@ def test_rest_stands_without_llm(tmp_path):
     assert not any("llm" in line for p in (ROOT / "brindle").rglob("*.py") if "llm" not in p.parts for line in p.read_text().splitlines() if "import" in line)
 
 
-@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
-def test_catalog_queries_match_oracle(spark):
+@pytest.fixture(scope="module")
+def tables():
     duckdb = pytest.importorskip("duckdb")
-    from brindle.plans import catalog_queries
-
+    if not Path(SF).exists():
+        pytest.skip("no driver tables")
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(catalog_queries.oracle_sql() | engine_queries.oracle_sql()))
+def test_query_matches_oracle(spark, tables, name):
+    df = (catalog_queries.queries() | engine_queries.queries())[name](spark, SF)
     plain = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows), key=str)
-    for name, text in catalog_queries.oracle_sql().items():
-        df = catalog_queries.queries()[name](spark, SF)
-        columns = sorted(df.columns)
-        want = con.sql(text)
-        assert sorted(want.columns) == columns, name
-        assert plain(df.select(*columns).collect()) == plain(want.select(*[f'"{c}"' for c in columns]).fetchall()), name
+    columns = sorted(df.columns)
+    want = tables.sql((catalog_queries.oracle_sql() | engine_queries.oracle_sql())[name])
+    assert sorted(want.columns) == columns
+    assert plain(df.select(*columns).collect()) == plain(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
-@pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
-def test_whole_job_queries(spark):
+def test_queries_read_whole_tables(spark, tables):
     """All changes reach the subscriptions, and more than the first customers are joined, with unmatched nations left."""
-    from brindle.plans import catalog_queries
-
-    found, sql = catalog_queries.queries(), catalog_queries.oracle_sql()
-    for name in [*catalog_queries.SUBSCRIPTIONS, "reactive_two_conditions"]:
-        assert "%" not in sql[f"{name}_all"]
-    some, every = (found[n](spark, SF).where("conditions LIKE '%1%'").count() for n in ("reactive_two_conditions", "reactive_two_conditions_all"))
-    assert every > some
-    joined = found["join_left_value"](spark, SF)
+    sql = catalog_queries.oracle_sql()
+    assert not any("%" in sql[n] for n in [*catalog_queries.SUBSCRIPTIONS, "reactive_two_conditions"])
+    joined = catalog_queries.queries()["join_left"](spark, SF)
     assert joined.where("c_custkey >= 20").count() > 0 and joined.where("c_custkey IS NULL").count() > 0
-    assert all("c_custkey <" not in sql[f"{n}_value"] for n in ("join_left", "join_left_where_right", "join_left_where_right_ref", "agg_null_skip", "agg_null_key", "sort_nulls", "filter_null", "filter_not_null"))
