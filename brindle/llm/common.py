@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.session import checkpoint_folder, delete_folder
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: A key with one in so many of all rows, or more, is joined by broadcast.
+HEAVY = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,26 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; in a local session one of our own where that is unset."""
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="brindle-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df to the shared folder (in subfolders by an integer column) and read it back: cuts the lineage, survives lost
     executors, is computed once. The folder is the result's stored_at.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -49,10 +36,18 @@ def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
 
 def discard(stored: DataFrame, inner: str = "") -> None:
     """Delete what materialize wrote (or a subfolder of it), once nothing reads it any more."""
-    path = f"{stored.stored_at}/{inner}".rstrip("/")
-    sc = stored.sparkSession.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    delete_folder(stored.sparkSession, f"{stored.stored_at}/{inner}".rstrip("/"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined with right, which has a row for each key and in n how often it occurs on the left, of about total rows.
+
+    Keys that hold at least one in HEAVY of them are joined by broadcast, so that their rows stay where they are; there are at most
+    about HEAVY such keys. All others are joined by shuffle.
+    """
+    heavy = F.broadcast(right.where(F.col(n) * HEAVY >= total).drop(n))
+    light = right.where(F.col(n) * HEAVY < total).drop(n)
+    return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -97,22 +92,24 @@ def binary_descent(n: int, goes_right) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node of the component.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014). Hubs are reduced by partial aggregation, never gathered.
+    Alternates large-star and small-star steps (Kiveris et al., 2014). A hub's least neighbour is found by partial aggregation and,
+    where the hub has many edges, sent to them: its edges never meet in one task.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
-    before = None
+    before, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.where("a <> b").distinct(), "stars")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "a", "n", total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        last, edges = edges, materialize(small.where("a <> b").distinct(), "stars")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").bitwiseAND(0xFFFFFFFF))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import held_out, pieces, table
 
-PER_LANG, MOST_TEXTS = 250, 16_000
+PER_LANG, MOST_TEXTS = 250, 8_000
 BITS = 13
 DIM = 2 << BITS
 EPOCHS, COST = 12, 10.0

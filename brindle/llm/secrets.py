@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, table
+from brindle.llm.common import materialize, spread_join, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: The contract's `+` runs that are long enough: a run is maximal either way.
@@ -33,8 +33,6 @@ KINDS = ("assign", "access", "hex", "live")
 LEAST_ASSIGN = 8
 ENTROPY = 3.5
 MOST_OWNERS, MOST_REPOS = 2, 10
-#: Values that hold at least one in so many occurrences are joined by broadcast: there are no more of them than this.
-HEAVY = 1000
 SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,at:int,upto:int,hash:long>>"
 
 
@@ -112,9 +110,7 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owne
     copied = (F.col("owners") > most_owners) | (F.col("repos") > most_repos)
     owners = materialize(ownership(each.select("hash", "owner", "repo")).select("hash", "n", copied.alias("copied")), "owners")
     total = owners.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(owners.where(F.col("n") * HEAVY >= total).select("hash", "copied"))
-    light = owners.where(F.col("n") * HEAVY < total).select("hash", "copied")
-    judged = each.join(heavy, "hash").unionByName(each.join(heavy, "hash", "left_anti").join(light, "hash"))
+    judged = spread_join(each, owners, "hash", "n", total)
     base = F.collect_set(F.when(F.col("kind") < 3, F.struct("start", "kind", "end")))
     live = F.collect_set(F.when(~F.col("copied"), F.struct(F.col("at").alias("start"), F.lit(3).alias("kind"), F.col("upto").alias("end"))))
     spans = judged.groupBy("rid").agg(F.sort_array(F.concat(base, live)).alias("spans"), F.count(F.when(~F.col("copied"), 1)).alias("n_live"), F.count(F.when(F.col("copied"), 1)).alias("n_copied"))

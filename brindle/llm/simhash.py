@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import binaries, components, materialize, pieces, shuffle_partitions, table
+from brindle.llm.common import binaries, components, materialize, pieces, shuffle_partitions, spread_join, table
 
 GROUP = 512
 #: Bytes of text hashed together; each shingle takes 64 counters for a moment.
@@ -192,15 +192,15 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text: str, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, th, fp) and classes (fp, least): least is the smallest (no_id, doc_id, th) of the component."""
+    """Rows (doc_id, th, fp) and classes (fp, least, n): least is the smallest (no_id, doc_id, th) of the component, n the fingerprint's rows."""
     hashed = with_fingerprint(docs, [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")], text, width)
     hashed = materialize(hashed, "fp")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
-    distinct = materialize(hashed.groupBy("fp").agg(least), "fps")
+    distinct = materialize(hashed.groupBy("fp").agg(least, F.count("*").alias("n")), "fps")
     found = components(links(distinct.select("fp"), radius))
-    root = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    low = root.groupBy("root").agg(F.min("least").alias("least"))
-    return hashed, materialize(root.select("root", "fp").join(low, "root").select("fp", "least"), "classes")
+    root = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    low = root.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("fps"))
+    return hashed, materialize(spread_join(root.select("root", "fp", "n"), low, "root", "fps", root.count()).select("fp", "least", "n"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     each get their row. An empty table gives an empty result. Extra columns are ignored.
     """
     hashed, classes = _classes(docs, id_col, text, radius, width)
-    return hashed.join(classes, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+    return spread_join(hashed, classes, "fp", "n", hashed.count()).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
@@ -218,8 +218,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     _, classes = _classes(docs, id_col, text, radius, width)
     kept = classes.select("least").distinct().select(F.coalesce("least.doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("least.th").alias("__th"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))
-    return keyed.join(kept, ["__id", "__th"], "left_semi").withColumn("__n", nth).where("__n = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))  # of equal rows each task sends one
+    return keyed.withColumn("__n", nth).where("__n = 1").join(kept, ["__id", "__th"], "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

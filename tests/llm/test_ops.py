@@ -140,6 +140,43 @@ def test_langid(spark, empty):
     assert langid.learned_from(empty).predict(["thing"]) == (["und"], [0.0])
 
 
+def test_langid_many_languages(spark):
+    """Seventy languages, of which none is left out; columns named like the results are replaced."""
+    rng, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyzäöüßñçéè"
+    sounds = {f"l{k:02}": ["".join(rng.choices(letters, k=3)) for _ in range(6)] for k in range(70)}
+    text = lambda lang: " ".join("".join(rng.choices(sounds[lang], k=2)) for _ in range(25))
+    data = [(k, text(lang), lang, 5.0, "x") for k, lang in enumerate(lang for lang in sounds for _ in range(14))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.learned_from(docs)
+    assert sum(map(len, model.langs)) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in out(langid.identify(docs, model, docs.columns))}
+    test = [r for r in data if held(r[0], 4, 2)]
+    assert sum(got[r[0]] == r[2] for r in test) >= 0.95 * len(test)
+    assert len(langid.train(docs, F.lit(True), most_texts=70).families) == 70  # one text of each at least
+
+
+def test_langid_votes_are_brute_force(spark):
+    """The family by its machine, then every pair's vote within it, counted one by one."""
+    rng = random.Random(4)
+    sound = {"en": "th ing wh", "de": "sch ung ei", "nl": "ij oo ui", "fr": "eau tion qu", "es": "cion rr ll"}
+    text = lambda lang: " ".join("".join(rng.choices(sound[lang].split(), k=2)) for _ in range(rng.randrange(1, 12)))
+    docs = spark.createDataFrame([(k, text(lang), lang) for k, lang in enumerate(rng.choice(list(sound)) for _ in range(200))], "doc_id long, text string, lang string")
+    model = langid.learned_from(docs)
+    texts = [text(rng.choice(list(sound))) + " " + text(rng.choice(list(sound))) for _ in range(60)]
+    for t, got in zip(texts, model.predict(texts)[0], strict=True):
+        idx, n = langid.features(t)
+        margin = lambda w: float(w[idx] @ n) / n.sum()
+        f = int(np.argmax([margin(model.root[:, k]) for k in range(len(model.families))]))
+        votes, total = Counter(), Counter()
+        pairs = [(a, b) for i, a in enumerate(model.langs[f]) for b in model.langs[f][i + 1 :]]
+        for k, (a, b) in enumerate(pairs):
+            m = margin(model.pairs[f][:, k])
+            votes[a if m > 0 else b] += 1
+            total[a] += m
+            total[b] -= m
+        assert got == max(model.langs[f], key=lambda x: (votes[x] + math.tanh(total[x]) / 4, -model.langs[f].index(x)))
+
+
 # -- 3
 def brute_mix(light, weights, repeats):
     sizes, names = Counter(), {}
@@ -215,6 +252,29 @@ def test_sharding(spark, docs, empty):
     assert len(one) == 1 and one[0]["slot"] == 0
 
 
+def test_sharding_intervals(spark, monkeypatch):
+    """Many intervals a shard, each in its own task; splitters as near their share as a sort of all rows puts them."""
+    rng = random.Random(5)
+    data = [(k, "copy " * 30 if k % 3 == 0 else prose(rng, rng.randrange(1, 40))) for k in range(2000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(sharding, "INTERVAL_BYTES", 2000)
+    keys = sorted((r["__k1"], r["__k2"], r["__size"]) for r in out(df.select(*[c.alias(n) for n, c in sharding._keys(df).items()])))
+    cuts, per = sharding.splitters(df.select(*[c.alias(n) for n, c in sharding._keys(df).items()]), 8, interval_bytes=2000)
+    total, largest = sum(k[2] for k in keys), max(k[2] for k in keys)
+    assert per == -(-total // 16000) > 5 and cuts == sorted(cuts) and len(cuts) == 8 * per - 1
+    for j in range(per, 8 * per, per):
+        below = sum(n for a, b, n in keys if (a, b) < cuts[j - 1])
+        assert abs(below - total * j / (8 * per)) <= sharding.TOLERANCE * total / 8 + largest
+    monkeypatch.setattr(sharding, "splitters", lambda light, shards: (cuts, per))
+    found = sharding.shard(df, 8)
+    parts = found.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text") + 8).alias("n")).collect()
+    assert len(parts) > 8 * per / 2 and max(r["n"] for r in parts) <= 2000 * 1.6 + largest
+    slots = defaultdict(list)
+    for r in out(found):
+        slots[r["shard"]].append(r["slot"])
+    assert sum(map(len, slots.values())) == len(data) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # -- 7
 def brute_base(text):
     found = []
@@ -487,11 +547,64 @@ def test_align_is_brute_force():
         assert (got[0] if got else 99) == (want if want <= 4 else 99)
 
 
+def brute_contaminated(text, items):
+    """Every segment against every place of the text, by the whole table of edit distances; short items word by word."""
+    t, found = decontaminate.normal(text), set()
+    for item, x in items:
+        seg = decontaminate.normal(x)
+        if not seg or not t:
+            continue
+        if len(seg) < decontaminate.EXACT_BELOW:
+            if b" " + seg + b" " in b" " + t + b" ":
+                found.add(item)
+            continue
+        size, step = decontaminate.SEGMENT, decontaminate.STEP
+        for s in [0] if len(seg) <= size else [*range(0, len(seg) - size, step), len(seg) - size]:
+            part = np.frombuffer(seg[s : s + size], np.uint8)
+            a, row = np.frombuffer(t, np.uint8), np.zeros(len(t) + 1, np.int64)
+            for i, c in enumerate(part):
+                new = np.minimum(np.r_[i + 1, row[:-1] + (a != c)], np.r_[i + 1, row[1:] + 1])
+                at = np.arange(len(new))
+                row = np.minimum.accumulate(new - at) + at
+            if row.min() <= int(len(part) * decontaminate.EDITS):
+                found.add(item)
+    return found
+
+
+def test_decontaminate_is_brute_force(spark):
+    """Items of every length, from one letter on, exact and with edits; a q-gram that is everywhere."""
+    rng = random.Random(13)
+    words = ["go", "team", "river", "stone", "quickly", "a", "the", "forty", "two"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(0, "go team 42"), (1, "x"), (2, "ok"), (3, "the forty two rivers"), (4, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (5, "what is it, then?"), (6, ""), (7, "?!"), (8, None)]
+    items += [(10 + k, say(rng.randrange(2, 30)) + f" {k * 7919}") for k in range(20)]
+    data = []
+    for k in range(90):
+        body = say(rng.randrange(3, 50))
+        t = items[rng.randrange(len(items))][1] or ""
+        s = list(t)
+        for _ in range(rng.randrange(0, 3)):
+            if s:
+                s[rng.randrange(len(s))] = rng.choice("abq ")
+        data.append((k, f"{body} {''.join(s)} {say(3)}"))
+    data += [(200, "ergo team 42x"), (201, "so: Go, TEAM 42!"), (202, "a" * 3000), (203, "oks"), (204, "x")]
+    want = {(d, i) for d, t in data for i in brute_contaminated(t, items)}
+    got = {(r["doc_id"], r["item_id"]) for r in out(decontaminate.contaminated(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))}
+    assert got == want and {(201, 0), (204, 1), (202, 4)} <= got and not {(200, 0), (203, 2)} & got
+    index = decontaminate.Index(items)
+    whole = index.find([t for _, t in data])
+    decontaminate.MOST_HITS, before = 50, decontaminate.MOST_HITS
+    try:
+        assert index.find([t for _, t in data]) == whole
+    finally:
+        decontaminate.MOST_HITS = before
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(11)
     letters = "abcdefghijklmnopqrstuvwxyz"
     sentence = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n))
-    items = [(k, sentence(rng.randrange(8, 50))) for k in range(12)] + [(90, None), (91, "too short"), (0, None)]
+    items = [(k, sentence(rng.randrange(8, 50))) for k in range(12)] + [(90, None), (91, "§ …"), (0, None)]
 
     def edit(t):
         s = list(t)
@@ -514,8 +627,8 @@ def test_decontaminate(spark, docs, empty):
     assert {(r["doc_id"], r["item_id"]) for r in out(decontaminate.contaminated(df, bench))} == want
     cleaned = decontaminate.clean(df, bench)
     assert cleaned.columns == df.columns and {r["doc_id"] for r in out(cleaned)} == {r[0] for r in data} - {d for d, _ in want} | {500, 501}
-    assert decontaminate.contaminated(docs, bench).count() == 0 and decontaminate.clean(docs, bench).count() == docs.count()
-    assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    assert out(decontaminate.contaminated(docs, bench)) == [] and len(out(decontaminate.clean(docs, bench))) == docs.count()
+    assert out(decontaminate.contaminated(empty, bench)) == [] and out(decontaminate.contaminated(df, bench.limit(0))) == []
 
 
 def test_sharding_query_shards_the_texts(spark, docs, tmp_path, monkeypatch):
@@ -705,6 +818,21 @@ def test_tables_against_one_customer_at_a_time(customers, new, dishes):
         assert abs(tables.mean() - mean) < 5 * deviation / math.sqrt(dishes) and 0.6 < tables.std() / deviation < 1.5
 
 
+def test_very_long_text(spark, tmp_path):
+    """A text of 20,000 words, and one word of 200,000 letters, through every operator on texts."""
+    rng = random.Random(20)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(20_000)), "x" * 200_000, "short and sweet"]
+    spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(texts[0].split()[9000:9040])), (2, "not in any of these texts, whatever one does")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, query in registry.queries().items():
+        if name != "op9_chat":
+            found = out(query(spark, str(tmp_path)))
+            assert [r["item_id"] for r in found] == [1] if name == "op10_decontaminate" else len(found) == 3, name
+    made = [(k, 0, "user", texts[k]) for k in range(2)] + [(k, 1, "assistant", texts[0]) for k in range(2)]
+    formatted = chat.format_trees(chat.conversation_trees(spark.createDataFrame(made, "conv_id long, turn long, role string, text string")))
+    assert all(chat.parse(r["formatted"])[1] == ("assistant", texts[0]) for r in out(formatted))
+
+
 def test_registry_names():
     names = registry.queries()
     assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
