@@ -93,27 +93,34 @@ def plan(light: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int =
     return materialize(out, "points")
 
 
-def _times(size: Column, place: Column) -> Column:
-    return F.when(size == 0, 0).otherwise(F.col("rounds") + F.when(place <= F.col("point"), 1).otherwise(0))
+def prepare(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, source, key, size, place) without texts, and plan() of them."""
+    keyed = _keyed(docs, seed)
+    light = materialize(keyed.select("doc_id", "source", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__place").alias("place")), "light")
+    return light, plan(light, weights, repeats)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """The mixture's rows with the columns of docs, repeated documents once for each time.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = SEED, points: DataFrame | None = None) -> DataFrame:
+    """The mixture's rows with the columns of docs, repeated documents once for each time. points: plan() of docs, if it is there already.
 
     Null texts and texts without words have size 0 and are never taken; null sources are a source of their own, the last.
     Ties of the shuffle hash are broken by doc_id (null first) and the text's hash. An empty table gives an empty mixture.
     """
     keyed = _keyed(docs, seed)
-    light = materialize(keyed.select("source", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__place").alias("place")), "light")
-    points = plan(light, weights, repeats).withColumnsRenamed({"key": "__key", "rounds": "__rounds", "point": "__point"}).select("__key", "__rounds", "__point")
-    joined = keyed.join(points, "__key")
+    if points is None:
+        points = prepare(docs, weights, repeats, seed)[1]
+    joined = keyed.join(points.withColumnsRenamed({"key": "__key", "rounds": "__rounds", "point": "__point"}).select("__key", "__rounds", "__point"), "__key")
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # the same as size 0, without counting again
     times = F.when(empty, 0).otherwise(F.col("__rounds") + F.when(F.col("__place") <= F.col("__point"), 1).otherwise(0))
     return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _keyed(table(spark, sf_dir, "documents"), SEED)
-    light = materialize(keyed.select("doc_id", "source", F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__place").alias("place")), "light")
-    found = light.join(plan(light), "key")
-    return found.select("doc_id", "size", "source_size", "target", (_times(F.col("size"), F.col("place")) * F.col("size")).cast("long").alias("taken"), "source")
+    """taken is counted in the mixture; rows that are equal throughout share what is taken of them, which is as often for each."""
+    docs = table(spark, sf_dir, "documents")
+    light, points = prepare(docs)
+    of = lambda df, n: df.groupBy("key", F.col("place.h").alias("h"), F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(F.count("*").alias(n))
+    mixed = of(_keyed(mix(docs, points=points), SEED).select(F.col("__key").alias("key"), F.col("__place").alias("place")), "copies")
+    times = of(light, "rows").join(mixed, ["key", "h", "id", "th"], "left").withColumn("times", F.coalesce(F.col("copies"), F.lit(0)) / F.col("rows"))
+    rows = light.select("doc_id", "source", "key", "size", F.col("place.h").alias("h"), F.col("place.id").alias("id"), F.col("place.th").alias("th")).join(times, ["key", "h", "id", "th"])
+    return rows.join(points.select("key", "source_size", "target"), "key").select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "source")
