@@ -39,6 +39,8 @@ CLASSES = 64
 #: Discounts and strengths of root, classes and word contexts.
 DISCOUNT, STRENGTH = (0.8, 0.8, 0.8), (1.0, 1.0, 1.0)
 SWEEPS, BURN_IN = 3, 1
+#: The first sweep whose seating is a sample.
+FIRST = BURN_IN + 1
 #: Customers of a dish up to which generalised Stirling numbers are tabulated.
 EXACT = 1024
 #: Text that a bucket's words stand for, and the documents (one in so many) in which words too frequent for one bucket are looked for.
@@ -545,12 +547,12 @@ class Trained:
         discard(stored, f"kind={REPORT}")
         for k in range(1, SWEEPS + 1):
             self._sweep(k)
-            if k - 1 < max(1, min(BURN_IN + 1, SWEEPS)) and len(self.states) > 1:
-                discard(self.states[-2], f"kind={STATE}")
-        spark.sparkContext._jvm.System.gc()  # shuffles of finished sweeps are deleted once they are unreachable
+            if 1 < k <= FIRST:  # the seating before isn't needed any more
+                discard(self.states[k - 2], f"kind={STATE}")
+            spark.sparkContext._jvm.System.gc()  # shuffles of finished sweeps are deleted once they are unreachable
 
     def sampled(self) -> dict[int, _Totals]:
-        return {k: self.totals[k] for k in range(min(BURN_IN, SWEEPS - 1) + 1, SWEEPS + 1)}
+        return {k: self.totals[k] for k in range(FIRST, SWEEPS + 1)}
 
     def _add(self, stored: DataFrame, k: int) -> DataFrame:
         reports = stored.where(F.col("kind") == REPORT)
@@ -591,7 +593,6 @@ class Trained:
         self.totals.append(self._sum(stored, k))
         self.states.append(state)
         discard(stored, f"kind={REPORT}")
-        self.types.sparkSession.sparkContext._jvm.System.gc()
 
     def rows(self) -> DataFrame:
         """All that scoring needs, by bucket."""
