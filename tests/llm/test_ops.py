@@ -649,13 +649,11 @@ def test_hpylm(docs, empty):
     token = lambda t: [*(t or "").encode().lower().split(), None]
     count = Counter(w for i, t, *_ in data if not held(i, 5, 1) for w in token(t))
     n, v = sum(count.values()), len(count)
-    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out(hpylm.score(docs, learn)))
-    want = Counter((i, held(i, 5, 1), len(token(t)), sum(count[w] > 0 for w in token(t)), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(t)), 6)) for i, t, *_ in data)
-    assert got == want
     found = out(hpylm.score(docs, learn))
-    assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
-    assert {r["doc_id"]: r["score"] for r in out(hpylm.score(docs, learn)) if r["doc_id"] in range(9)} == {r["doc_id"]: r["score"] for r in found if r["doc_id"] in range(9)}
-    assert hpylm.score(empty, learn).count() == 0
+    got = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found)
+    want = Counter((i, held(i, 5, 1), len(token(t)), sum(count[w] > 0 for w in token(t)), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(t)), 6)) for i, t, *_ in data)
+    assert got == want and sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
+    assert out(hpylm.score(empty, learn)) == []
     none = out(hpylm.score(docs, F.lit(False)))
     assert len(none) == len(data) and all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] == 0 for r in none)
 
