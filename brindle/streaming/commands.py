@@ -59,9 +59,10 @@ def from_text(text: str):
 def due(catalog: Catalog, invoice_id: int) -> int:
     """What is still to be paid of an invoice, credit notes included."""
     invoices = catalog["invoice"].rows.where((F.col("invoice_id") == invoice_id) | (F.col("parent_id") == invoice_id)).select("invoice_id")
-    gross = money.invoice_totals(catalog["position"].rows.join(invoices, "invoice_id")).agg(F.sum("gross")).first()[0]
-    paid = catalog["payment"].rows.where(F.col("invoice_id") == invoice_id).agg(F.sum("amount")).first()[0]
-    return (gross or 0) - (paid or 0)
+    gross = money.invoice_totals(catalog["position"].rows.join(invoices, "invoice_id")).agg(F.sum("gross"))
+    paid = catalog["payment"].rows.where(F.col("invoice_id") == invoice_id).agg(F.sum("amount"))
+    left = catalog.spark.range(1).select(F.coalesce(gross.scalar(), F.lit(0)) - F.coalesce(paid.scalar(), F.lit(0))).first()[0]
+    return int(left)
 
 
 def _known(catalog: Catalog, invoice_id: int) -> None:
@@ -189,8 +190,8 @@ def exchange(client, stream: int, server: CommandServer, texts: list[str]) -> st
 
 
 def seeded(catalog: Catalog, invoices: DataFrame, positions: DataFrame) -> Catalog:
-    """The commands' tables, with invoices and positions that are there already."""
+    """The commands' tables, with invoices and positions that are there already, written once in the order of their index."""
     dml.execute_all(catalog, SCHEMA.strip())
     for name, rows in (("invoice", invoices), ("position", positions)):
-        dml.append(catalog, name, rows, strict=False)
+        catalog[name].changed(catalog.checked(name, rows.select(*catalog[name].domains), unique=False), every=1)
     return catalog
