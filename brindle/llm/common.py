@@ -14,7 +14,7 @@ from brindle.session import checkpoint_folder, delete_folder
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A key with one in so many of all rows, or more, is joined by broadcast.
-HEAVY = 1000
+HEAVY, SPREAD_ROWS = 1000, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,8 +43,11 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int)
     """left joined with right, which has a row for each key and in n how often it occurs on the left, of about total rows.
 
     Keys that hold at least one in HEAVY of them are joined by broadcast, so that their rows stay where they are; there are at most
-    about HEAVY such keys. All others are joined by shuffle.
+    about HEAVY such keys. All others are joined by shuffle. Below SPREAD_ROWS rows no key is more than a task can hold, and one
+    join does.
     """
+    if total < SPREAD_ROWS:
+        return left.join(right.drop(n), key)
     heavy = F.broadcast(right.where(F.col(n) * HEAVY >= total).drop(n))
     light = right.where(F.col(n) * HEAVY < total).drop(n)
     return left.join(heavy, key).unionByName(left.join(heavy.select(key), key, "left_anti").join(light, key))

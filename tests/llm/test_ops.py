@@ -71,7 +71,10 @@ def brute_components(fps, radius):
     return {f: root(f) for f in fps}
 
 
-def test_simhash(docs, empty):
+@pytest.mark.parametrize("rows", [common.SPREAD_ROWS, 0])
+def test_simhash(docs, empty, monkeypatch, rows):
+    """Also with every frequent key joined by broadcast."""
+    monkeypatch.setattr(common, "SPREAD_ROWS", rows)
     data = rows_of()
     fps = {brute_fp(r[1]) for r in data}
     root = brute_components(fps, 4)
@@ -303,8 +306,10 @@ def test_secrets(spark, docs, empty):
     assert len(out(secrets.scan(docs))) == docs.count() and out(secrets.scan(empty)) == []
 
 
-def test_secrets_ownership(spark):
+@pytest.mark.parametrize("rows", [common.SPREAD_ROWS, 0])
+def test_secrets_ownership(spark, monkeypatch, rows):
     """Owners and repositories both decide; base matches keep their spans either way; a value may hold most of the rows."""
+    monkeypatch.setattr(common, "SPREAD_ROWS", rows)
     one, shared, many, own = ("Qw3Er5Ty7Ui9Op1As2Df" + c * 4 for c in "abcd")
     data = [(k, f"see {one} and token={shared}x{k % 3}", "a") for k in range(3)]  # three repositories of one owner
     data += [(10 + k, f"token={shared}x0 here", f"o{k}") for k in range(5)]  # six owners
