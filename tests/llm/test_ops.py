@@ -71,10 +71,7 @@ def brute_components(fps, radius):
     return {f: root(f) for f in fps}
 
 
-@pytest.mark.parametrize("rows", [common.SPREAD_ROWS, 0])
-def test_simhash(docs, empty, monkeypatch, rows):
-    """Also with every frequent key joined by broadcast."""
-    monkeypatch.setattr(common, "SPREAD_ROWS", rows)
+def test_simhash(docs, empty):
     data = rows_of()
     fps = {brute_fp(r[1]) for r in data}
     root = brute_components(fps, 4)
@@ -90,6 +87,22 @@ def test_simhash(docs, empty, monkeypatch, rows):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_spread_join(spark, monkeypatch):
+    """Frequent keys by broadcast, the others by shuffle: the same rows; and components found that way."""
+    monkeypatch.setattr(common, "SPREAD_ROWS", 0)
+    monkeypatch.setattr(common, "HEAVY", 5)
+    left = spark.createDataFrame([(0 if k % 3 else k, k) for k in range(90)], "key long, v long")
+    right = left.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("m")).where("key <> 3")
+    assert sorted(map(tuple, common.spread_join(left, right, "key", "n", 90).collect())) == sorted(map(tuple, left.join(right.drop("n"), "key").collect()))
+    rng = random.Random(2)
+    edges = [(rng.randrange(40), 40 + rng.randrange(25)) for _ in range(30)] + [(99, k) for k in range(100, 115)]
+    parent = {x: x for e in edges for x in e}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {(r["node"], r["root"]) for r in out(common.components(spark.createDataFrame(edges, "a long, b long")))} == {(x, find(x)) for x in parent}
+
+
 def test_simhash_large_group_and_chain(spark):
     rng = random.Random(4)
     center = rng.getrandbits(64)
