@@ -21,7 +21,7 @@ buckets with the numbers of their documents, and return as sums for each documen
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -47,6 +47,8 @@ EXACT = 1024
 BUCKET_BYTES, LOOKED_AT = 24 << 20, 64
 #: Tokens and documents that a map task packs together, and bytes of text that are split at a time.
 FLUSH_TOKENS, FLUSH_DOCS, PIECE = 3 << 19, 30_000, 4 << 20
+#: Tokens of a pack whose pairs are sorted at a time (or one bucket's), and bytes of rows that are sent together.
+SORTED_TOKENS, SENT_BYTES = 1 << 18, 1 << 20
 #: The end of a text as a token; words hold no line break.
 END = b"\n"
 _END = xxhash.xxh64_intdigest(END)
@@ -62,9 +64,29 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
 
 
+def _batches(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row.values() if isinstance(x, bytes))
+        if size >= SENT_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One at a time: a batch holds all rows of a bucket, which are not copied together."""
     for batch in batches:
-        yield from batch.to_pylist()
+        for k in range(batch.num_rows):
+            yield {n: column[k].as_py() for n, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _release() -> None:
+    """Give freed memory back (Arrow's, then the C library's), so that a worker doesn't hold the most that each of its steps took."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def _z(values: np.ndarray) -> bytes:
@@ -133,14 +155,19 @@ class _Pack:
     def learned(self) -> np.ndarray:
         return np.repeat(self.learn, self.sizes)
 
+    def before(self, at: np.ndarray) -> np.ndarray:
+        """The contexts of tokens: the ids before them. Before the first is END, which is also the last."""
+        return self.ids[at - 1]
+
 
 def _packed(held: list[tuple]) -> _Pack:
     words = pa.chunked_array([w for *_, w in held], pa.binary()).dictionary_encode().unify_dictionaries()
     known = words.chunk(0).dictionary.to_pylist() if words.num_chunks else []
     n = np.concatenate([n for _, _, n, _ in held])
-    ids = np.zeros(int(n.sum()) + len(n), np.int32)
-    place = np.arange(int(n.sum())) + np.repeat(np.arange(len(n)), n)
-    ids[place] = np.concatenate([c.indices.to_numpy() for c in words.chunks] or [np.zeros(0, np.int32)]) + 1
+    ids = np.ones(int(n.sum()) + len(n), np.int32)
+    ids[np.cumsum(n + 1) - 1] = 0
+    word = ids == 1
+    ids[word] += np.concatenate([c.indices.to_numpy() for c in words.chunks] or [np.zeros(0, np.int32)])
     h = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
     cls = np.fromiter((_CLASS_OF[w[-2:]] for w in known), np.int64, len(known))
     learn = np.concatenate([x for _, x, _, _ in held])
@@ -161,10 +188,17 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Pack]:
             held.append((batch.column(0).slice(s, m), learn, n, words.flatten().cast(pa.binary())))
             tokens, docs = tokens + int(n.sum()) + int(m), docs + int(m)
             if tokens >= FLUSH_TOKENS or docs >= FLUSH_DOCS:
-                yield _packed(held)
-                held, tokens, docs = [], 0, 0
+                pack, held, tokens, docs = _packed(held), [], 0, 0
+                del text, words
+                _release()
+                yield pack
+                del pack
+                _release()
     if held:
-        yield _packed(held)
+        pack, held = _packed(held), []
+        _release()
+        yield pack
+    _release()
 
 
 def _mixed(a: np.ndarray, b: np.ndarray | int, salt: int) -> np.ndarray:
@@ -186,7 +220,7 @@ class _Layout:
     buckets: int = 1
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
-    def deal(self, pack: _Pack, w: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def deal(self, pack: _Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token the place of its word by bucket and hash; the places' hashes and buckets."""
         own = np.flatnonzero(_find(self.hot, pack.h) >= 0)
         h = np.r_[pack.h, np.repeat(pack.h[own], CLASSES)]
@@ -194,54 +228,67 @@ class _Layout:
         order = np.lexsort((h, bucket))
         h, bucket = h[order], bucket[order].astype(np.int64)
         new = np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new) - 1
+        out = place[pack.ids]
         if len(own):
-            row = np.full(len(pack.h), -1)
+            row = np.full(len(pack.h), -1, np.int32)
             row[own] = np.arange(len(own))
-            w = np.where(row[w] >= 0, len(pack.h) + row[w] * CLASSES + pack.cls[u], w)
-        return place[w], h[new], bucket[new]
+            at = np.flatnonzero(row[pack.ids] >= 0)
+            out[at] = place[len(pack.h) + row[pack.ids[at]] * CLASSES + pack.cls[pack.before(at)]]
+        return out, h[new], bucket[new]
 
     def part(self, keys: np.ndarray) -> np.ndarray:
         """The range of contexts' keys, in their order."""
         return ((keys >> np.uint64(33) & np.uint64((1 << 30) - 1)) * np.uint64(self.buckets) >> np.uint64(30)).astype(np.int64)
 
 
-def _pairs(pack: _Pack, layout: _Layout, seq: int, docs: bool) -> list[dict]:
+def _pairs(pack: _Pack, layout: _Layout, seq: int, docs: bool) -> Iterator[dict]:
     """Rows for the buckets: words (a), their numbers of contexts (b), the contexts' keys (c), each pair's context (d) and
     its count in training (e); with docs instead its number of documents (e), the documents (f) and counts in them (g).
+
+    Some buckets' tokens are taken at a time, so that temporary arrays stay small however large the pack is.
     """
-    w = pack.ids.astype(np.int64)
-    u = np.r_[0, w[:-1]]
-    place, h, bucket = layout.deal(pack, w, u)
-    keys, low = pack.keys(), _bits(len(pack.h))
-    code = place << low | u
+    place, h, bucket = layout.deal(pack)
+    keys, low, wide = pack.keys(), _bits(len(pack.h)), _bits(len(pack.sizes)) if docs else 1
+    last = np.repeat(np.arange(len(pack.sizes), dtype=np.int32), pack.sizes) if docs else pack.learned()
+    first, _ = _runs(bucket)
+    upto = np.cumsum(np.bincount(place, minlength=len(h)))
+    for s, m in zip(*_runs(np.r_[0, upto][first] // SORTED_TOKENS), strict=True):
+        at = np.flatnonzero((place >= first[s]) & (place < np.r_[first, len(h)][s + m]))
+        code = place[at].astype(np.int64)
+        code <<= low
+        code |= pack.before(at)
+        code <<= wide
+        code |= last[at]
+        del at
+        yield from _pair_rows(code, h, bucket, keys, low, wide, seq, docs)
+
+
+def _pair_rows(code: np.ndarray, h: np.ndarray, bucket: np.ndarray, keys: np.ndarray, low: int, wide: int, seq: int, docs: bool) -> Iterator[dict]:
+    """Rows of tokens given as place, context and document (or whether it is learned from), packed in an integer each."""
+    code.sort()
     if docs:
-        wide = _bits(len(pack.sizes))
-        code = code << wide | np.repeat(np.arange(len(pack.sizes)), pack.sizes)
-        code.sort()
         start, times = _runs(code)
-        doc, code = (code[start] & (1 << wide) - 1).astype(np.uint16), code[start] >> wide
+        code = code[start]
+        doc = (code & (1 << wide) - 1).astype(np.uint16)
+        code >>= wide
         start, n = _runs(code)
         ends = np.r_[start, len(doc)]
     else:
-        code = code << 1 | pack.learned()
-        code.sort()
         learned = code & 1
-        code >>= 1
+        code >>= wide
         start, _ = _runs(code)
         n = np.add.reduceat(learned, start) if len(start) else learned
     code = code[start]
     word, ctx = code >> low, code & (1 << low) - 1
-    out = []
     for s, m in zip(*_runs(bucket[word]), strict=True):
         first, k = _runs(word[s : s + m])
         used, idx = np.unique(ctx[s : s + m], return_inverse=True)
         row = {"kind": ASK if docs else TYPES, "bucket": int(bucket[word[s]]), "seq": seq, "a": h[word[s : s + m][first]].tobytes(), "b": _z(k), "c": keys[used].tobytes(), "d": _z(idx), "e": _z(n[s : s + m])}
         if docs:
             row |= {"f": _z(doc[ends[s] : ends[s + m]]), "g": _z(times[ends[s] : ends[s + m]])}
-        out.append(row)
-    return out
+        yield row
 
 
 @cache
@@ -406,7 +453,8 @@ class _Predictive:
 
     def __init__(self, b: Bucket, states: dict[int, tuple], totals: dict[int, _Totals], vocabulary: int):
         (d0, d1, d2), (s0, s1, s2) = DISCOUNT, STRENGTH
-        self.b, self.code, self.hot = b, b.leaf_word * len(b.keys) + b.leaf_ctx, b.layout.hot
+        self.h, self.keys, self.pairs, self.c, self.hot = b.h, b.keys, b.pairs, b.c, b.layout.hot
+        self.code = b.leaf_word * len(b.keys) + b.leaf_ctx
         self.any = next(iter(totals.values()))
         self.samples = []
         for k, t in totals.items():
@@ -425,16 +473,16 @@ class _Predictive:
 
     def __call__(self, h: np.ndarray, keys: np.ndarray, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of indexes into word hashes and contexts' keys: the words' training counts and the probabilities."""
-        at, hot, room = _find(self.b.h, h), _find(self.hot, h), _find(self.b.keys, keys)
+        at, hot, room = _find(self.h, h), _find(self.hot, h), _find(self.keys, keys)
         cls = (keys & _LOW).astype(np.int64)[key]
         known, own = at[word] >= 0, room[key]
-        at1 = np.where(known, _find(self.b.pairs, at[word] * CLASSES + cls), -1)
-        at2 = np.where(known & (own >= 0), _find(self.code, at[word] * len(self.b.keys) + own), -1)
+        at1 = np.where(known, _find(self.pairs, at[word] * CLASSES + cls), -1)
+        at2 = np.where(known & (own >= 0), _find(self.code, at[word] * len(self.keys) + own), -1)
         p = np.zeros(len(word))
         for a0, hot0, b0, a1, b1, a2, b2 in self.samples:
             root = np.where(hot >= 0, np.r_[hot0, 0.0][hot], a0[at]) + b0
             p += a2[at2] + np.r_[b2, 1.0][own] * (a1[at1] + b1[cls] * root[word])
-        count = np.where(hot >= 0, np.r_[self.any.hot_n, 0][hot], np.r_[self.b.c, 0][at])
+        count = np.where(hot >= 0, np.r_[self.any.hot_n, 0][hot], np.r_[self.c, 0][at])
         return count[word], p / len(self.samples)
 
 
@@ -473,8 +521,11 @@ def _by_bucket(df: DataFrame, buckets: int, f: Callable[[int, list[dict]], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(_rows(batches))
+        _release()
         for row in f(rows[0][by], rows) if rows else ():
             yield _batch([row])
+        rows.clear()
+        _release()
 
     return df.repartitionById(buckets, F.col(by)).sortWithinPartitions("kind", "seq").mapInArrow(run, _ROW)
 
@@ -533,10 +584,13 @@ class Trained:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId() << 32
             for k, pack in enumerate(_packs(batches)):
-                yield _batch(_pairs(pack, layout, part | k, False))
+                yield from _batches(_pairs(pack, layout, part | k, False))
 
         def merge(bucket: int, found: list[dict]) -> Iterator[dict]:
-            yield (row := _merged(layout, found))
+            row = _merged(layout, found)
+            found.clear()
+            _release()
+            yield row
             b = Bucket.of(layout, row)
             yield from b.report(bucket, b.start()[0], True)
             yield from _total_rows(b.totals(b.start()))
@@ -578,7 +632,9 @@ class Trained:
         def sweep(bucket: int, rows: list[dict]) -> Iterator[dict]:
             b = Bucket.of(layout, rows[0])
             b.take([r for r in rows if r["kind"] == SIDE])
-            state = b.sweep(k, next((_state(r) for r in rows if r["kind"] == STATE), b.start()), totals, vocabulary)
+            state = next((_state(r) for r in rows if r["kind"] == STATE), None) or b.start()
+            rows.clear()
+            state = b.sweep(k, state, totals, vocabulary)
             yield _state_row(bucket, k, state)
             yield from b.report(bucket, state[0], False)
             yield from _total_rows(b.totals(state))
@@ -621,7 +677,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         for k, pack in enumerate(_packs(batches)):
             meta = pa.RecordBatch.from_arrays([pack.doc_ids, pa.array(pack.learn), pa.array(pack.sizes)], names=["doc_id", "learn", "n"])
             yield _batch([{"kind": META, "bucket": (part | k) % buckets, "seq": part | k, "a": meta.serialize().to_pybytes()}])
-            yield _batch(_pairs(pack, layout, part | k, True))
+            yield from _batches(_pairs(pack, layout, part | k, True))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each pack the documents' (a) known tokens (b), base (c) and model (d) sums in this bucket."""
@@ -637,16 +693,20 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
                 yield _batch([r])
             else:
                 if predict is None:
+                    _release()
                     b = Bucket.of(layout, types)
                     b.take(sides)
                     predict = _Predictive(b, states, sampled, vocabulary)
-                    types, sides, states = None, [], {}
+                    b, types, sides, states = None, None, [], {}
+                    _release()
                 k, n = _u(r["b"], np.int64), _u(r["e"], np.int64)
                 count, p = predict(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["c"], np.uint64), np.repeat(np.arange(len(k)), k), _u(r["d"], np.int64))
                 doc, times = _u(r["f"], np.uint16), _u(r["g"], np.int64)
                 some = np.flatnonzero(np.bincount(doc))
                 known, base, score_ = (np.bincount(doc, times * np.repeat(x, n))[some] for x in (count > 0, np.log10((count + 0.5) / divisor), np.log10(p)))
                 yield _batch([r | {"a": _z(some.astype(np.uint16)), "b": _z(known.astype(np.int64)), "c": base.tobytes(), "d": score_.tobytes(), "e": None, "f": None, "g": None}])
+        predict = None
+        _release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each pack's documents with the sums of all buckets: its META row comes last."""

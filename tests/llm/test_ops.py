@@ -749,6 +749,37 @@ def test_hpylm_packs():
     assert got == want
 
 
+def test_hpylm_memory(monkeypatch):
+    """Temporary arrays are as large as some buckets' share of a pack, and a bucket's rows are not copied all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.zipf(1.3, 1000) % 100_000)) for _ in range(1500)]
+    pack = next(hpylm._packs(iter([pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array([True, False] * 750), pa.array(texts)], names=["a", "b", "c"])])))
+    n, buckets = np.bincount(pack.ids), 40
+    layout = hpylm._Layout(buckets, np.sort(pack.h[n * 8 * buckets >= n.sum()]))
+    batch = hpylm._batch([{"seq": k, "a": bytes(1 << 20)} for k in range(20)])
+
+    def peak(rows):
+        tracemalloc.start()
+        try:
+            assert sum(1 for _ in rows()) > 0
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    took = [peak(lambda docs=docs: hpylm._pairs(pack, layout, 0, docs)) / len(pack.ids) for docs in (False, True)] + [peak(lambda: hpylm._rows(iter([batch]))) / (1 << 20)]
+    print("bytes a token, rows of 20:", took)
+    assert len(layout.hot) and max(took[:2]) < 35 and took[2] < 4
+    found = []
+    for size in (1, hpylm.SORTED_TOKENS, 1 << 40):
+        monkeypatch.setattr(hpylm, "SORTED_TOKENS", size)
+        found.append([r for docs in (False, True) for r in hpylm._pairs(pack, layout, 7, docs)])
+    assert found[0] == found[1] == found[2] and {r["bucket"] for r in found[0]} == set(range(buckets))
+
+
 class PlainSampler:
     """Seats one customer at a time in root (None), classes and contexts, with the true totals."""
 
