@@ -74,15 +74,19 @@ def binaries(array: pa.Array) -> list[bytes | None]:
 
 def pieces(texts: list[bytes | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of a batch that hold about `most` bytes each (or one longer text), so that temporary arrays stay small."""
+    return spans([len(t or b"") for t in texts], most)
+
+
+def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes come to `most` each (or of one larger size)."""
     start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
+    for i, n in enumerate(sizes):
         if total and total + n > most:
             yield start, i
             start, total = i, 0
         total += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def binary_descent(n: int, goes_right) -> Column:

@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import binaries, components, materialize, pieces, shuffle_partitions, spread_join, table
+from brindle.llm.common import binaries, components, materialize, shuffle_partitions, spans, spread_join, table
 
 GROUP = 512
 #: Bytes of text hashed together; each shingle takes 64 counters for a moment.
@@ -58,18 +59,20 @@ def fingerprints(texts: list[bytes | None], width: int = 4) -> np.ndarray:
     return out
 
 
+def _hash_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the fingerprint of their last column in its place. Only some texts at a time are copied out of a batch."""
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        fps = np.concatenate([fingerprints(binaries(column.slice(i, j - i)), width) for i, j in spans(sizes.tolist(), PIECE)] or [np.zeros(0, np.uint64)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
+
+
 def with_fingerprint(docs: DataFrame, columns: list[str], text: str = "text", width: int = 4) -> DataFrame:
     """The given columns of docs and fp, the fingerprint as a signed long."""
     source = docs.select(*columns, F.col(text).alias("__text"))
     schema = source.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = binaries(batch.column(batch.num_columns - 1))
-            fps = np.concatenate([fingerprints(texts[i:j], width) for i, j in pieces(texts, PIECE)] or [np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
-
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: _hash_batches(batches, width), schema)
 
 
 @lru_cache(maxsize=4096)
@@ -191,16 +194,19 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return found.distinct()
 
 
-def _classes(docs: DataFrame, id_col: str, text: str, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, th, fp) and classes (fp, least, n): least is the smallest (no_id, doc_id, th) of the component, n the fingerprint's rows."""
-    hashed = with_fingerprint(docs, [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")], text, width)
-    hashed = materialize(hashed, "fp")
+def _hashed(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """Rows (doc_id, th, fp)."""
+    return with_fingerprint(docs, [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")], text, width)
+
+
+def _classes(hashed: DataFrame, radius: int) -> DataFrame:
+    """Classes (fp, least, n) of rows (doc_id, th, fp), which are read once: least is the smallest (no_id, doc_id, th) of the component, n the fingerprint's rows."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("least")
     distinct = materialize(hashed.groupBy("fp").agg(least, F.count("*").alias("n")), "fps")
     found = components(links(distinct.select("fp"), radius))
     root = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     low = root.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("fps"))
-    return hashed, materialize(spread_join(root.select("root", "fp", "n"), low, "root", "fps", root.count()).select("fp", "least", "n"), "classes")
+    return materialize(spread_join(root.select("root", "fp", "n"), low, "root", "fps", root.count()).select("fp", "least", "n"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
@@ -209,13 +215,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null ids keep their row; they take part in links, and a component without any id has component_id null. Repeated rows
     each get their row. An empty table gives an empty result. Extra columns are ignored.
     """
-    hashed, classes = _classes(docs, id_col, text, radius, width)
-    return spread_join(hashed, classes, "fp", "n", hashed.count()).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+    hashed = materialize(_hashed(docs, id_col, text, width), "fp")
+    return spread_join(hashed, _classes(hashed, radius), "fp", "n", hashed.count()).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """docs with one row of each group of near duplicates: the smallest id (null last; of equal ids the smallest text hash, of equal rows any one)."""
-    _, classes = _classes(docs, id_col, text, radius, width)
+    classes = _classes(_hashed(docs, id_col, text, width), radius)  # no file is written while texts are hashed
     kept = classes.select("least").distinct().select(F.coalesce("least.doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("least.th").alias("__th"))
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     nth = F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__th"))  # of equal rows each task sends one

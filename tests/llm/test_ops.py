@@ -87,6 +87,47 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keep_one_writes_no_row_of_each_document(spark, monkeypatch):
+    """What keep_one stores follows the different fingerprints, so that no file is written by the tasks that hold the texts."""
+    df = spark.createDataFrame([(k, f"text number {k % 3} " + "abc"[k % 3] * 9) for k in range(120)], "doc_id long, text string")
+    stored = []
+
+    def noted(rows, label, by=None):
+        kept = common.materialize(rows, label, by)
+        stored.append((label, kept.count()))
+        return kept
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    assert sorted(r["doc_id"] for r in out(simhash.keep_one(df))) == [0, 1, 2]
+    assert "fps" in dict(stored) and all(n <= 3 for label, n in stored if label != "links"), stored
+
+
+def test_simhash_memory(docs, monkeypatch):
+    """A task copies some texts at a time out of a batch, not all of them; null, empty and sliced columns are as before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = simhash.with_fingerprint(docs, ["doc_id"])
+    texts = [" ".join(f"{k:020d}{j:020d}" for j in range(25)) for k in range(16_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "__text"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == len(texts)
+        took = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("bytes held, of", batch.nbytes, took)
+    assert took < batch.nbytes / 2
+    some = [None, "", "a b", *texts[:2], " ", None, "\u00e9 x y z A", "x" * (2 * simhash.PIECE), "q r s t u"]
+    for kind in (pa.string(), pa.large_string()):
+        for part in (some, some[:1], []):
+            whole = pa.RecordBatch.from_arrays([pa.array(range(len(part) + 1), pa.int64()), pa.array(["before", *part], kind)], names=["doc_id", "__text"])
+            (got,) = run(iter([whole.slice(1)]))
+            assert got.column("fp").to_pylist() == [simhash._signed(brute_fp(t)) for t in part]
+
+
 def test_spread_join(spark, monkeypatch):
     """Frequent keys by broadcast, the others by shuffle: the same rows; and components found that way."""
     monkeypatch.setattr(common, "SPREAD_ROWS", 0)
